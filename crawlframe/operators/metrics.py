@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlframe.operators.ordered import CHUNK, count_before
+
 # Histogram bucket bounds in seconds.
 CRAWL_BUCKETS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0]
 SEARCH_BUCKETS = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0]
@@ -78,23 +80,25 @@ def window_quantile(log: DataFrame, ts: str, value: str, labels: list[str], boun
     return merged.select(*labels, "window_end", F.col("_all").alias("observations"), estimate.alias("quantile"))
 
 
-def exact_quantile(log: DataFrame, value: str, labels: list[str], q: float = 0.95) -> DataFrame:
-    """Exact interpolated quantile per label from value counts.
+def exact_quantile(log: DataFrame, value: str, labels: list[str], q: float = 0.95, cuts: int = 1024) -> DataFrame:
+    """Exact interpolated quantile per label.
 
-    Equal values are counted before the shuffle and the rank is found in a window over distinct
-    values, so no label's raw values are gathered in one task.
+    Equal values are counted before the shuffle; running counts are carried across ``cuts`` value
+    ranges, so the values of a frequent label spread over tasks.
     """
-    distinct = log.filter(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("_n"))
-    by_value = Window.partitionBy(*labels).orderBy(value)
-    upto = distinct.withColumn("_upto", F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = distinct.groupBy(*labels).agg(F.sum("_n").alias("_all"))
+    held = log.filter(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("_n"))
+    span = held.groupBy(*labels).agg(
+        F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("_all")
+    )
+    width = F.nullif((F.col("_max") - F.col("_min")) / cuts, F.lit(0.0))
+    cut = F.coalesce(F.floor((F.col(value) - F.col("_min")) / width), F.lit(0))
+    spread = held.join(span, labels).withColumn(CHUNK, cut)
+    upto = count_before(spread, labels, [value], F.col("_n"), "_upto", inclusive=True)
     rank = (F.col("_all") - 1) * q
-    low, high = F.floor(rank), F.ceil(rank)
-    found = upto.join(whole, labels) if labels else upto.crossJoin(F.broadcast(whole))
-    ends = found.groupBy(*labels).agg(
-        F.min(F.when(F.col("_upto") > low, F.col(value))).alias("_lo"),
-        F.min(F.when(F.col("_upto") > high, F.col(value))).alias("_hi"),
-        F.max(rank - low).alias("_f"),
+    ends = upto.groupBy(*labels).agg(
+        F.min(F.when(F.col("_upto") > F.floor(rank), F.col(value))).alias("_lo"),
+        F.min(F.when(F.col("_upto") > F.ceil(rank), F.col(value))).alias("_hi"),
+        F.max(rank - F.floor(rank)).alias("_f"),
     )
     return ends.select(*labels, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
 
