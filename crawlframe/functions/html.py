@@ -5,8 +5,6 @@ No DOM is built: tags are tokenised with regular expressions, quoted attribute v
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,13 +39,15 @@ ENTITIES = {
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode named and numeric character references in one pass."""
-    names = F.create_map(*[F.lit(x) for x in chain.from_iterable(ENTITIES.items())])
+    """Decode named and numeric character references, the ampersand last."""
+    names = F.str_to_map(
+        F.lit("\u0003".join(f"{k}\u0002{v}" for k, v in ENTITIES.items())), F.lit("\u0003"), F.lit("\u0002")
+    )
 
     def from_code(digits: Column, base: int) -> Column:
-        code = F.try_to_number(digits, F.lit("9999999")) if base == 10 else F.conv(digits, 16, 10)
-        wide = F.lpad(F.hex(code.cast("long")), 8, "0")
-        return F.decode(F.unhex(wide), "UTF-32")
+        code = F.conv(digits, base, 10).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(code == 38, F.lit("&amp;")).otherwise(char)
 
     def replaced(p: Column, name: Column) -> Column:
         char = (
@@ -63,12 +63,11 @@ def decode_entities(text: Column) -> Column:
         name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});", 1)
         return F.when(i == 0, p).otherwise(let(name, lambda n: replaced(p, n)))
 
-    return let(
-        text,
-        lambda t: F.when(
-            F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&", -1), piece), "")
-        ).otherwise(t),
-    )
+    def decoded(t: Column) -> Column:
+        pieces = F.transform(F.split(t, r"&(?=[A-Za-z#])(?!amp;)", -1), piece)
+        return F.replace(F.array_join(pieces, ""), F.lit("&amp;"), F.lit("&"))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
 
 def visible_markup(html: Column) -> Column:
@@ -229,14 +228,16 @@ def page_links(markup: Column, base: Column) -> Column:
     return web_only(ordered_distinct(normalize_urls(resolve_urls(base, hrefs))))
 
 
-def rel_link(markup: Column, rel: str, base: Column) -> Column:
-    """Canonical target of the first link element with that rel."""
-    links = _wanted(tags(markup, "link"), ["rel", "href"])
-    first = F.get(
-        F.filter(links, lambda x: F.array_contains(F.split(x["rel"], r"\s+"), rel)), F.lit(0)
-    )["href"]
-    target = F.get(normalize_urls(resolve_urls(base, F.array(first))), F.lit(0))
-    return F.when(F.coalesce(first, F.lit("")) != "", target)
+def rel_links(markup: Column, base: Column) -> Column:
+    """array(next, prev): canonical targets of the first link element of each kind, or null."""
+    def first(links: Column, rel: str) -> Column:
+        hit = F.get(F.filter(links, lambda x: F.array_contains(F.split(x["rel"], r"\s+"), rel)), F.lit(0))
+        return F.nullif(hit["href"], F.lit(""))
+
+    def both(links: Column) -> Column:
+        return normalize_urls(resolve_urls(base, F.array(first(links, "next"), first(links, "prev"))))
+
+    return let(_wanted(tags(markup, "link"), ["rel", "href"]), both)
 
 
 def page_numbers(markup: Column) -> Column:
@@ -262,9 +263,8 @@ def infinite_scroll(markup: Column) -> Column:
 def text_content(markup: Column) -> Column:
     """Whole visible text: every text node stripped, empty ones dropped, joined by one blank."""
     nodes = F.regexp_replace(F.regexp_replace(markup, _NOSCRIPT, _MARK), _ANY_TAG, _MARK)
-    joined = F.regexp_replace(decode_entities(nodes), f"[{WS}]*{_MARK}[{WS}{_MARK}]*", _MARK)
-    edges = F.regexp_replace(joined, f"^[{WS}{_MARK}]+|[{WS}{_MARK}]+$", "")
-    return F.translate(edges, _MARK, " ")
+    texts = F.transform(F.split(decode_entities(nodes), _MARK, -1), strip)
+    return F.array_join(F.filter(texts, lambda t: t != ""), " ")
 
 
 def snippet(markup: Column) -> Column:

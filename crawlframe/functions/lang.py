@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that str.split() and str.strip() treat as white space.
-WS = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS_CHARS = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# The same set as the inside of a character class.
+WS = r"\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -18,9 +25,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(value: Column) -> Column:
     """Remove leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(value, f"^[{WS}]+|[{WS}]+$", "")
+    return F.trim(value, F.lit(WS_CHARS))
 
 
 def ordered_distinct(values: Column) -> Column:
     """Distinct array elements in first-seen order."""
     return F.array_distinct(values)
+
+
+def reusable(build: Callable) -> Callable:
+    """Keep the expressions built for a set of column names.
+
+    Building a large expression costs hundreds of calls into the JVM; jobs that run the same
+    projection again, such as stream batches, take the finished one.
+    """
+    built: dict = {}
+
+    @wraps(build)
+    def get(*names: str):
+        context = SparkContext._active_spark_context
+        key = (context.applicationId if context else None, names)
+        if key not in built:
+            built[key] = build(*names)
+        return built[key]
+
+    return get

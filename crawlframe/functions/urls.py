@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlframe.functions.lang import let, strip
+from crawlframe.functions.lang import let, reusable, strip
 
 # RFC 3986 appendix B, with the scheme limited to its legal characters.
 _RFC3986 = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -42,20 +42,26 @@ def _encode(text: Column) -> Column:
 
 
 def _pair(piece: Column) -> Column:
-    cut = F.instr(piece, "=")
-    key = F.when(cut > 0, F.substring_index(piece, "=", 1)).otherwise(piece)
-    value = F.when(cut > 0, F.substr(piece, cut + 1)).otherwise(F.lit(""))
+    """struct(k, v) of one query piece; the value of a bare key is empty."""
+    both = F.concat(piece, F.lit("="))
+    key = F.substring_index(both, "=", 1)
+    value = F.substr(both, F.length(key) + 2, F.length(both) - F.length(key) - 2)
     return F.struct(_decode(key).alias("k"), _decode(value).alias("v"))
 
 
 def canonical_query(query: Column) -> Column:
     """Sort query pairs by (key, value) and re-encode them; blank values are kept."""
     pieces = F.filter(F.split(query, "&"), lambda p: p != "")
-    pairs = F.array_sort(F.transform(pieces, _pair))
     encoded = F.transform(
-        pairs, lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"]))
+        F.array_sort(F.transform(pieces, _pair)),
+        lambda p: F.concat(_encode(p["k"]), F.lit("="), _encode(p["v"])),
     )
-    return F.when(query == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
+    return F.array_join(encoded, "&")
+
+
+def _with_query(query: Column) -> Column:
+    """'?query', or nothing for an empty query."""
+    return F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query))
 
 
 def _reparse(url: Column, parts: Column) -> Column:
@@ -64,21 +70,24 @@ def _reparse(url: Column, parts: Column) -> Column:
     return F.when(bare, _parts(F.concat(F.lit("http://"), url))).otherwise(parts)
 
 
-def _assemble(parts: Column) -> Column:
-    scheme = F.when(parts[0] == "", F.lit("http")).otherwise(F.lower(parts[0]))
-    netloc = F.lower(parts[1])
-    netloc = (
-        F.when(scheme == "http", F.regexp_replace(netloc, r":0*80$", ""))
-        .when(scheme == "https", F.regexp_replace(netloc, r":0*443$", ""))
-        .otherwise(netloc)
+def _fields(parts: Column) -> Column:
+    return F.struct(
+        F.when(parts[0] == "", F.lit("http")).otherwise(F.lower(parts[0])).alias("scheme"),
+        F.lower(parts[1]).alias("netloc"),
+        _without_params(parts[2]).alias("path"),
+        F.when(parts[3] == "", F.lit("")).otherwise(canonical_query(parts[3])).alias("query"),
     )
-    path = _without_params(parts[2])
-    path = F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/")))
-    query = canonical_query(parts[3])
-    return F.concat(
-        scheme, F.lit("://"), netloc, path,
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
+
+
+def _assemble(x: Column) -> Column:
+    """Canonical URL from its fields: no default port, no trailing slash but for the root."""
+    netloc = (
+        F.when(x["scheme"] == "http", F.regexp_replace(x["netloc"], r":0*80$", ""))
+        .when(x["scheme"] == "https", F.regexp_replace(x["netloc"], r":0*443$", ""))
+        .otherwise(x["netloc"])
     )
+    path = F.when(x["path"] == "/", x["path"]).otherwise(F.rtrim(x["path"], F.lit("/")))
+    return F.concat(x["scheme"], F.lit("://"), netloc, path, _with_query(x["query"]))
 
 
 def _normalize_all(urls: Column) -> Column:
@@ -86,9 +95,8 @@ def _normalize_all(urls: Column) -> Column:
     staged = F.transform(
         F.transform(urls, _tidy), lambda u: F.struct(u.alias("u"), _parts(u).alias("p"))
     )
-    return F.transform(
-        F.transform(staged, lambda s: _reparse(s["u"], s["p"])), _assemble
-    )
+    read = F.transform(staged, lambda s: _reparse(s["u"], s["p"]))
+    return F.transform(F.transform(read, _fields), _assemble)
 
 
 def normalize_urls(urls: Column) -> Column:
@@ -96,8 +104,15 @@ def normalize_urls(urls: Column) -> Column:
     return _normalize_all(urls)
 
 
-def normalize_url(url: Column) -> Column:
+@reusable
+def _normalize_named(url: str) -> Column:
+    return F.element_at(_normalize_all(F.array(F.col(url))), 1)
+
+
+def normalize_url(url: Column | str) -> Column:
     """Canonical form of one URL column."""
+    if isinstance(url, str):
+        return _normalize_named(url)
     return F.element_at(_normalize_all(F.array(url)), 1)
 
 
@@ -153,70 +168,76 @@ def web_only(links: Column) -> Column:
     return F.filter(links, lambda u: u.rlike(r"^https?://"))
 
 
-def _resolve_dots(segments: Column) -> Column:
-    """Fold '.' and '..' out of path segments; a trailing one leaves a directory."""
-    kept = F.aggregate(
+def _fold_dots(segments: Column) -> Column:
+    """Fold '.' and '..' out of path segments."""
+    return F.aggregate(
         segments,
-        F.lit([]).cast("array<string>"),
+        F.array().cast("array<string>"),
         lambda acc, seg: F.when(seg == ".", acc)
-        .when((seg == "..") & (F.size(acc) > 0), F.slice(acc, 1, F.size(acc) - 1))
-        .when(seg == "..", acc)
+        .when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(seg))),
     )
-    last = F.element_at(segments, -1)
-    return F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-
-
-def _merged_segments(base_path: Column, path: Column) -> Column:
-    """Path segments of a reference read against a base path."""
-    base = F.split(F.regexp_replace(base_path, r"[^/]+$", ""), "/", -1)
-    base = F.when((F.element_at(base, -1) == "") & (F.size(base) > 1), F.slice(base, 1, F.size(base) - 1)).otherwise(base)
-    merged = F.concat(base, F.split(path, "/", -1))
-    n = F.size(merged)
-    inner = F.filter(F.slice(merged, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    squeezed = F.concat(
-        F.slice(merged, 1, 1),
-        inner,
-        F.when(n > 1, F.slice(merged, n, 1)).otherwise(F.lit([]).cast("array<string>")),
-    )
-    return F.when(F.startswith(path, F.lit("/")), F.split(path, "/", -1)).otherwise(squeezed)
 
 
-def _absolute_path(segments: Column) -> Column:
-    joined = F.array_join(segments, "/")
-    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+def _directory(path: Column) -> Column:
+    """Path segments up to the last slash."""
+    return F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/", -1)
 
 
-def _resolve_parts(href: Column, h: Column, b: Column) -> Column:
-    path = _without_params(h[2])
-    params = F.substr(h[2], F.length(path) + 1)
-    merged = _absolute_path(_resolve_dots(_merged_segments(_without_params(b[2]), path)))
+def _squeeze(segments: Column) -> Column:
+    """Drop empty segments between the first and the last one."""
+    return F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
 
-    def query(q: Column) -> Column:
-        return F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))
 
-    root = F.concat(b[0], F.lit("://"), b[1])
-    same_page = F.concat(root, b[2], query(F.when(h[3] == "", b[3]).otherwise(h[3])))
-    foreign = (h[0] != "") & (F.lower(h[0]) != F.lower(b[0]))
+def _reference(h: Column, b: Column) -> Column:
+    """Fields of a reference: its parts, its path without parameters, and the merged segments."""
+    return let(
+        _parts(h),
+        lambda p: let(
+            _without_params(p[2]),
+            lambda path: F.struct(
+                h.alias("text"), p.alias("p"), path.alias("path"),
+                F.when(F.startswith(path, F.lit("/")), F.split(path, "/", -1))
+                .otherwise(let(F.concat(b["dir"], F.split(path, "/", -1)), _squeeze)).alias("segments"),
+            ),
+        ),
+    )
+
+
+def _resolved(r: Column, b: Column) -> Column:
+    """Absolute URL of a reference against the fields of its base."""
+    p, path = r["p"], r["path"]
+    last = F.element_at(r["segments"], -1)
+    folded = F.concat(
+        _fold_dots(r["segments"]),
+        F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")),
+    )
+    merged = F.concat(F.lit("/"), F.regexp_replace(F.array_join(folded, "/"), "^/", ""))
+    same_page = F.concat(b["root"], b["path"], F.when(p[3] == "", b["query"]).otherwise(_with_query(p[3])))
     return (
-        F.when(foreign, href)
-        .when(h[1] != "", F.concat(b[0], F.lit("://"), h[1], h[2], query(h[3])))
-        .when(h[2] == "", same_page)
-        .otherwise(F.concat(root, merged, params, query(h[3])))
+        F.when((p[0] != "") & (F.lower(p[0]) != b["scheme"]), r["text"])
+        .when(p[1] != "", F.concat(b["scheme"], F.lit("://"), p[1], p[2], _with_query(p[3])))
+        .when(p[2] == "", same_page)
+        .otherwise(F.concat(b["root"], merged, F.substr(p[2], F.length(path) + 1), _with_query(p[3])))
     )
 
 
 def resolve_urls(base: Column, hrefs: Column) -> Column:
     """Resolve an array of references against a base URL (RFC 3986); fragments are dropped."""
-    return let(
-        _parts(_tidy(base)),
-        lambda b: F.transform(
-            F.transform(
-                F.transform(hrefs, _tidy), lambda h: F.struct(h.alias("h"), _parts(h).alias("p"))
-            ),
-            lambda s: _resolve_parts(s["h"], s["p"], b),
-        ),
-    )
+    def base_fields(p: Column) -> Column:
+        return F.struct(
+            F.lower(p[0]).alias("scheme"),
+            F.concat(p[0], F.lit("://"), p[1]).alias("root"),
+            p[2].alias("path"),
+            _with_query(p[3]).alias("query"),
+            _directory(_without_params(p[2])).alias("dir"),
+        )
+
+    def all_refs(b: Column) -> Column:
+        refs = F.transform(F.transform(hrefs, _tidy), lambda h: _reference(h, b))
+        return F.transform(refs, lambda r: _resolved(r, b))
+
+    return let(let(_parts(_tidy(base)), base_fields), all_refs)
 
 
 def resolve_url(base: Column, href: Column) -> Column:

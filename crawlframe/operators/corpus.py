@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import html as H
 from crawlframe.functions import jsondoc as J
-from crawlframe.functions.lang import ordered_distinct
+from crawlframe.functions.lang import ordered_distinct, reusable
 from crawlframe.functions.text import collapse
 from crawlframe.functions.urls import domain_of, host_suffixes, normalize_url, url_key
 from crawlframe.schemas import MAX_LENGTHS
@@ -17,39 +17,46 @@ from crawlframe.session import small_or_shuffled
 def canonicalize(df: DataFrame, url: str = "url") -> DataFrame:
     """Add normalized_url, url_key and domain."""
     return (
-        df.withColumn("normalized_url", normalize_url(F.col(url)))
+        df.withColumn("normalized_url", normalize_url(url))
         .withColumn("url_key", url_key(F.col("normalized_url")))
         .withColumn("domain", domain_of(F.col("normalized_url")))
     )
 
 
+@reusable
+def _page_columns(url: str, html: str) -> tuple[dict, dict, dict, dict]:
+    """Expressions of a page record in stages; a later stage reads the columns of the earlier ones."""
+    m, base = F.col("_markup"), F.col(url)
+    return (
+        {"_markup": H.visible_markup(F.col(html))},
+        {"_meta": H.meta_records(m), "_ld": H.json_ld(F.col(html)), "_rel": H.rel_links(m, base)},
+        {"_og": H.open_graph(F.col("_meta")), "_plain": H.meta_tags(F.col("_meta"))},
+        {
+            "title": H.title(m),
+            "description": H.description(F.col("_meta")),
+            "language": H.language(m),
+            "text_snippet": H.snippet(m),
+            "extracted_links": H.page_links(m, base),
+            "open_graph": F.col("_og"),
+            "meta_tags": F.col("_plain"),
+            "json_ld": F.transform("_ld", lambda v: F.to_json(v)),
+            "schema_types": H.schema_types(F.col("_ld")),
+            "metadata": H.flat_metadata(F.col("_og"), F.col("_plain")),
+            "next_url": F.get("_rel", F.lit(0)),
+            "prev_url": F.get("_rel", F.lit(1)),
+            "page_numbers": H.page_numbers(m),
+            "is_infinite_scroll": H.infinite_scroll(m),
+            "content_type": F.lit("text/html"),
+        },
+    )
+
+
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """HTML corpus -> page records, in one projection; unused fields are pruned by the reader."""
     kept = [c for c in pages.columns if c != html]
-    marked = pages.withColumn("_markup", H.visible_markup(F.col(html)))
-    m, base = F.col("_markup"), F.col(url)
-    staged = marked.withColumns({"_meta": H.meta_records(m), "_ld": H.json_ld(F.col(html))})
-    staged = staged.withColumns(
-        {"_og": H.open_graph(F.col("_meta")), "_plain": H.meta_tags(F.col("_meta"))}
-    )
-    return staged.select(
-        *kept,
-        H.title(m).alias("title"),
-        H.description(F.col("_meta")).alias("description"),
-        H.language(m).alias("language"),
-        H.snippet(m).alias("text_snippet"),
-        H.page_links(m, base).alias("extracted_links"),
-        F.col("_og").alias("open_graph"),
-        F.col("_plain").alias("meta_tags"),
-        F.transform("_ld", lambda v: F.to_json(v)).alias("json_ld"),
-        H.schema_types(F.col("_ld")).alias("schema_types"),
-        H.flat_metadata(F.col("_og"), F.col("_plain")).alias("metadata"),
-        H.rel_link(m, "next", base).alias("next_url"),
-        H.rel_link(m, "prev", base).alias("prev_url"),
-        H.page_numbers(m).alias("page_numbers"),
-        H.infinite_scroll(m).alias("is_infinite_scroll"),
-        F.lit("text/html").alias("content_type"),
-    )
+    markup, parsed, maps, fields = _page_columns(url, html)
+    staged = pages.withColumns(markup).withColumns(parsed).withColumns(maps)
+    return staged.select(*kept, *[c.alias(n) for n, c in fields.items()])
 
 
 def extract_json(docs: DataFrame, body: str = "html") -> DataFrame:
@@ -118,10 +125,15 @@ def split_by_length(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+@reusable
+def _links(url: str, html: str) -> Column:
+    return H.page_links(H.visible_markup(F.col(html)), F.col(url))
+
+
 def link_edges(pages: DataFrame, source: str = "normalized_url", url: str = "url", html: str = "html") -> DataFrame:
     """Link graph: one (src, dst, pos) row per canonical link of a page."""
-    links = H.page_links(H.visible_markup(F.col(html)), F.col(url))
-    return pages.select(F.col(source).alias("src"), F.posexplode(links).alias("pos", "dst")).select("src", "dst", "pos")
+    links = F.posexplode(_links(url, html))
+    return pages.select(F.col(source).alias("src"), links.alias("pos", "dst")).select("src", "dst", "pos")
 
 
 def in_domains(df: DataFrame, host: str, domains: DataFrame, domain: str = "domain") -> DataFrame:

@@ -50,7 +50,7 @@ def seed_frontier(jobs: DataFrame) -> DataFrame:
         "job_id", "max_depth",
         F.when(given, F.col("allowed_domains")).otherwise(default).alias("allowed_domains"),
         F.posexplode("seed_urls").alias("pos", "url"),
-    ).withColumn("normalized_url", normalize_url(F.col("url")))
+    ).withColumn("normalized_url", normalize_url("url"))
     first = earliest(rows, ["job_id", "normalized_url"], ["pos"])
     return first.select(
         "job_id", "url", "normalized_url", url_key(F.col("normalized_url")).alias("url_key"),
@@ -133,7 +133,7 @@ def expand_corpus(seeds: DataFrame, outlinks: DataFrame, per_page: int = FAN_OUT
             level.filter(F.col("depth") < F.col("max_depth"))
             .join(pages, F.col("normalized_url") == F.col("_src"))
             .select(*policy, F.explode(links).alias("link"), (F.col("depth") + 1).alias("depth"))
-            .withColumn("normalized_url", normalize_url(F.col("link")))
+            .withColumn("normalized_url", normalize_url("link"))
             .dropDuplicates(["job_id", "normalized_url"])
             .join(seen.select("job_id", "normalized_url"), ["job_id", "normalized_url"], "left_anti")
             .select(*policy, "normalized_url", "depth")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from crawlframe.functions.urls import domain_of, normalize_url
 from crawlframe.operators.dedup import earliest
+from crawlframe.session import spread
 from crawlframe.sources.tables import read_table
 
 NOW = "2001-08-01 12:00:00"
@@ -34,12 +35,16 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "pages")
+    return spread(read_table(spark, d, "pages"))
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents"))
 
 
 def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
     """One page per canonical URL: the one with the smallest id."""
-    named = pages(spark, d).withColumn("normalized_url", normalize_url(F.col("url")))
+    named = pages(spark, d).withColumn("normalized_url", normalize_url("url"))
     return earliest(named, ["normalized_url"], ["page_id"])
 
 

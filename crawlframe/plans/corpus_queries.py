@@ -13,14 +13,14 @@ from crawlframe.operators.dedup import earliest
 from crawlframe.plans import bindings as B
 from crawlframe.plans import sql_text as S
 from crawlframe.plans.bindings import flat
-from crawlframe.sources.tables import artifacts, read_table
+from crawlframe.sources.tables import artifacts
 
 DOMAINS = ["example.com", "www.example.org", "blog.example.net"]
 DOMAIN_LIST = "['example.com', 'www.example.org', 'blog.example.net']"
 
 
 def url_normalize(spark, d):
-    return B.pages(spark, d).select("page_id", U.normalize_url(F.col("url")).alias("normalized_url"))
+    return B.pages(spark, d).select("page_id", U.normalize_url("url").alias("normalized_url"))
 
 
 def url_key_dedup(spark, d):
@@ -42,7 +42,7 @@ def link_allowlist_array(spark, d):
 def link_allowlist_semi(spark, d):
     edges = corpus.link_edges(B.pages(spark, d), source="page_id").withColumn("host", U.domain_of(F.col("dst")))
     wanted = B.pages(spark, d).select(
-        F.regexp_extract(U.domain_of(U.normalize_url(F.col("url"))), r"^[^.]+\.(.*)$", 1).alias("domain")
+        F.regexp_extract(U.domain_of(U.normalize_url("url")), r"^[^.]+\.(.*)$", 1).alias("domain")
     ).filter(F.startswith("domain", F.lit("th")))
     return flat(corpus.in_domains(edges, "host", wanted).select(F.col("src").alias("page_id"), "dst"))
 
@@ -62,12 +62,12 @@ def href_filter(spark, d):
 
 
 def site_robots_urls(spark, d):
-    p = B.pages(spark, d).select(U.normalize_url(F.col("url")).alias("u"))
+    p = B.pages(spark, d).select(U.normalize_url("url").alias("u"))
     return p.select(U.robots_url(F.col("u")).alias("robots_url"), U.sitemap_url(F.col("u")).alias("sitemap_url")).distinct()
 
 
 def html_artifacts(spark, d):
-    p = B.pages(spark, d).withColumn("normalized_url", U.normalize_url(F.col("url")))
+    p = B.pages(spark, d).withColumn("normalized_url", U.normalize_url("url"))
     return flat(artifacts(p, F.lit("job-1")).select("page_id", "storage_key", "checksum", "size_bytes"))
 
 
@@ -108,13 +108,13 @@ def extract_metadata(spark, d):
 def page_index(spark, d):
     p = corpus.clean_pages(corpus.extract_pages(B.pages(spark, d)))
     return flat(p.select(
-        "page_id", U.normalize_url(F.col("url")).alias("normalized_url"), "title", "language", "text_snippet",
+        "page_id", U.normalize_url("url").alias("normalized_url"), "title", "language", "text_snippet",
         F.size("extracted_links").alias("link_count"), F.array_join("extracted_links", " ").alias("links"),
     ))
 
 
 def link_edges(spark, d):
-    p = B.pages(spark, d).withColumn("normalized_url", U.normalize_url(F.col("url")))
+    p = B.pages(spark, d).withColumn("normalized_url", U.normalize_url("url"))
     return flat(corpus.link_edges(p))
 
 
@@ -125,12 +125,12 @@ def link_indegree_by_domain(spark, d):
 
 
 def clean_text(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = B.documents(spark, d)
     return docs.select("doc_id", X.collapse(F.col("text"), 1024).alias("title"), F.sha2(X.collapse(F.col("text")), 256).alias("clean_hash"))
 
 
 def length_violations(spark, d):
-    docs = read_table(spark, d, "documents").select(
+    docs = B.documents(spark, d).select(
         "doc_id", F.col("text").alias("title"), F.col("source").alias("domain"),
         F.concat(F.lit("http://h/"), F.col("text")).alias("normalized_url"), F.col("lang").alias("language"),
     )

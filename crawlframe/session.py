@@ -69,3 +69,9 @@ def small_or_shuffled(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 6
     A larger side gets the sort-merge hint, which leaves skewed keys to the adaptive skew join.
     """
     return F.broadcast(df) if fits(df, max_rows, max_bytes) else df.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for costly row work on a scan of few partitions; a larger scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
