@@ -23,6 +23,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def record(**values: Column) -> Column:
+    """Struct with fixed field names, also inside nested lambdas."""
+    return F.named_struct(*[x for name, v in values.items() for x in (F.lit(name), v)])
+
+
 def strip(value: Column) -> Column:
     """Remove leading and trailing white space, Unicode spaces included."""
     return F.trim(value, F.lit(WS_CHARS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crawlframe.functions.lang import let, reusable, strip
+from crawlframe.functions.lang import let, record, reusable, strip
 
 # RFC 3986 appendix B, with the scheme limited to its legal characters.
 _RFC3986 = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -46,7 +46,7 @@ def _pair(piece: Column) -> Column:
     both = F.concat(piece, F.lit("="))
     key = F.substring_index(both, "=", 1)
     value = F.substr(both, F.length(key) + 2, F.length(both) - F.length(key) - 2)
-    return F.struct(_decode(key).alias("k"), _decode(value).alias("v"))
+    return record(k=_decode(key), v=_decode(value))
 
 
 def canonical_query(query: Column) -> Column:
@@ -71,11 +71,11 @@ def _reparse(url: Column, parts: Column) -> Column:
 
 
 def _fields(parts: Column) -> Column:
-    return F.struct(
-        F.when(parts[0] == "", F.lit("http")).otherwise(F.lower(parts[0])).alias("scheme"),
-        F.lower(parts[1]).alias("netloc"),
-        _without_params(parts[2]).alias("path"),
-        F.when(parts[3] == "", F.lit("")).otherwise(canonical_query(parts[3])).alias("query"),
+    return record(
+        scheme=F.when(parts[0] == "", F.lit("http")).otherwise(F.lower(parts[0])),
+        netloc=F.lower(parts[1]),
+        path=_without_params(parts[2]),
+        query=F.when(parts[3] == "", F.lit("")).otherwise(canonical_query(parts[3])),
     )
 
 
@@ -92,9 +92,7 @@ def _assemble(x: Column) -> Column:
 
 def _normalize_all(urls: Column) -> Column:
     """Normalise every element; each stage of the work is evaluated once per element."""
-    staged = F.transform(
-        F.transform(urls, _tidy), lambda u: F.struct(u.alias("u"), _parts(u).alias("p"))
-    )
+    staged = F.transform(F.transform(urls, _tidy), lambda u: record(u=u, p=_parts(u)))
     read = F.transform(staged, lambda s: _reparse(s["u"], s["p"]))
     return F.transform(F.transform(read, _fields), _assemble)
 
@@ -195,10 +193,12 @@ def _reference(h: Column, b: Column) -> Column:
         _parts(h),
         lambda p: let(
             _without_params(p[2]),
-            lambda path: F.struct(
-                h.alias("text"), p.alias("p"), path.alias("path"),
-                F.when(F.startswith(path, F.lit("/")), F.split(path, "/", -1))
-                .otherwise(let(F.concat(b["dir"], F.split(path, "/", -1)), _squeeze)).alias("segments"),
+            lambda path: record(
+                text=h,
+                p=p,
+                path=path,
+                segments=F.when(F.startswith(path, F.lit("/")), F.split(path, "/", -1))
+                .otherwise(let(F.concat(b["dir"], F.split(path, "/", -1)), _squeeze)),
             ),
         ),
     )
@@ -225,12 +225,12 @@ def _resolved(r: Column, b: Column) -> Column:
 def resolve_urls(base: Column, hrefs: Column) -> Column:
     """Resolve an array of references against a base URL (RFC 3986); fragments are dropped."""
     def base_fields(p: Column) -> Column:
-        return F.struct(
-            F.lower(p[0]).alias("scheme"),
-            F.concat(p[0], F.lit("://"), p[1]).alias("root"),
-            p[2].alias("path"),
-            _with_query(p[3]).alias("query"),
-            _directory(_without_params(p[2])).alias("dir"),
+        return record(
+            scheme=F.lower(p[0]),
+            root=F.concat(p[0], F.lit("://"), p[1]),
+            path=p[2],
+            query=_with_query(p[3]),
+            dir=_directory(_without_params(p[2])),
         )
 
     def all_refs(b: Column) -> Column:

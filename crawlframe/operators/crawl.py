@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions.robots import allowed_by, request_target, rules_for
-from crawlframe.functions.urls import domain_of, keep_allowed, netloc_of, normalize_url, url_key
+from crawlframe.functions.urls import domain_of, keep_allowed, netloc_of, normalize_url, normalize_urls, url_key
 from crawlframe.operators.dedup import earliest
 from crawlframe.operators.ordered import CHUNK, before, count_before, join_carry, time_chunk
 from crawlframe.session import durable, small_or_shuffled
@@ -44,7 +44,7 @@ def seed_frontier(jobs: DataFrame) -> DataFrame:
 
     A job without allowed domains takes the domains of its seeds.
     """
-    default = F.transform(F.col("seed_urls"), lambda u: domain_of(normalize_url(u)))
+    default = F.transform(normalize_urls(F.col("seed_urls")), domain_of)
     given = F.coalesce(F.size("allowed_domains"), F.lit(0)) > 0
     rows = jobs.select(
         "job_id", "max_depth",

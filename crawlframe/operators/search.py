@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlframe.functions.lang import let
 from crawlframe.functions.text import set_similarity, similarity, trigrams
 from crawlframe.session import fits
 
@@ -19,15 +20,15 @@ def score_pages(pages: DataFrame, query: str, threshold: float = THRESHOLD) -> D
     wanted = trigrams(F.lit(query))
 
     def sim(name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), similarity(trigrams(F.col(name)), wanted))
+        return F.when(F.col(name).isNotNull(), let(trigrams(F.col(name)), lambda g: similarity(g, wanted)))
 
-    scored = pages.withColumns({"_title": sim("title"), "_text": sim("text_snippet")})
+    # The test runs inside the generated array: as a plain filter it would be pushed below the
+    # projection and every similarity computed twice.
+    scores = F.array(F.struct(sim("title").alias("title"), sim("text_snippet").alias("text")))
+    matching = F.filter(scores, lambda s: (s["title"] >= threshold) | (s["text"] >= threshold))
     zero = F.lit(0.0)
-    return (
-        scored.withColumn("score", F.greatest(F.coalesce("_title", zero), F.coalesce("_text", zero)))
-        .filter((F.col("_title") >= threshold) | (F.col("_text") >= threshold))
-        .drop("_title", "_text")
-    )
+    best = F.greatest(F.coalesce(F.col("_s.title"), zero), F.coalesce(F.col("_s.text"), zero))
+    return pages.select("*", F.explode(matching).alias("_s")).withColumn("score", best).drop("_s")
 
 
 def search_pages(pages: DataFrame, urls: DataFrame, query: str, limit: int = DEFAULT_LIMIT, offset: int = 0,
@@ -50,7 +51,8 @@ def search_pages(pages: DataFrame, urls: DataFrame, query: str, limit: int = DEF
 
 def page_by_url_id(pages: DataFrame, urls: DataFrame, url_id) -> DataFrame:
     """One stored page with its URL; the filter reaches both scans."""
-    return pages.filter(F.col("url_id") == url_id).join(
+    fields = ["title", "description", "text_snippet", "language", "extracted_links", "metadata"]
+    return pages.filter(F.col("url_id") == url_id).select("url_id", *fields).join(
         urls.filter(F.col("id") == url_id).select(
             F.col("id").alias("url_id"), F.col("canonical_url").alias("url"), "normalized_url", "domain"
         ),
