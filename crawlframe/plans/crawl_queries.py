@@ -299,9 +299,9 @@ ORACLE = {
       r AS (SELECT page_id % 10 AS job_id, nu AS normalized_url, 0::BIGINT AS depth FROM cpages UNION ALL SELECT page_id % 10, dst, 1 FROM kept WHERE n <= 4)
       SELECT job_id, normalized_url, min(depth) AS depth FROM r GROUP BY 1, 2""",
     "robots_filter": f"WITH {_ROBOTS} SELECT page_id, allowed FROM verdict",
-    "politeness_schedule": _POLITE.format(key="user_id", g=36000000000, b=2) + " SELECT event_id, user_id, arrival_no, wait::BIGINT AS wait_us FROM w",
-    "politeness_by_type": _POLITE.format(key="event_type", g=1200000000, b=5) + " SELECT event_id, wait::BIGINT AS wait_us FROM w",
-    "rate_limit_waits": _POLITE.format(key="user_id", g=36000000000, b=2) + " SELECT user_id, count(*) AS waits FROM w WHERE wait > 10000 GROUP BY 1",
+    "politeness_schedule": _POLITE.format(key="user_id", g="36000000000::BIGINT", b=2) + " SELECT event_id, user_id, arrival_no, wait::BIGINT AS wait_us FROM w",
+    "politeness_by_type": _POLITE.format(key="event_type", g="1200000000::BIGINT", b=5) + " SELECT event_id, wait::BIGINT AS wait_us FROM w",
+    "rate_limit_waits": _POLITE.format(key="user_id", g="36000000000::BIGINT", b=2) + " SELECT user_id, count(*) AS waits FROM w WHERE wait > 10000 GROUP BY 1",
     "proxy_assignment": """SELECT event_id, ['http://a.proxy:1', 'http://b.proxy:2', 'http://c.proxy:3'][(coalesce(sum(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END)
       OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3)::INT + 1] AS proxy FROM events""",
     "fetch_outcome": _SQL_OUTCOME,
