@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,12 +43,21 @@ class BatchLog:
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None],
                   mode: str = "append") -> None:
-    """Process everything the source holds now, batch by batch, then stop."""
-    query = (
-        stream.writeStream.foreachBatch(each).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    """Process everything the source holds now, batch by batch, then stop.
+
+    Batches without data are off: state on processing time would ask for one after another.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(NO_DATA, "true")
+    spark.conf.set(NO_DATA, "false")
+    try:
+        query = (
+            stream.writeStream.foreachBatch(each).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(NO_DATA, before)
 
 
 def collect_stream(stream: DataFrame, folder: str, mode: str = "append") -> BatchLog:
