@@ -87,9 +87,10 @@ def stream_decode(spark, d):
 
 def stream_upsert_pages(spark, d):
     p = table_stream(spark, d, "pages").withColumn("normalized_url", normalize_url("url"))
-    rows = clean_pages(extract_pages(p)).select("normalized_url", "title", "language", "text_snippet", F.size("extracted_links").alias("link_count"))
+    rows = clean_pages(extract_pages(p)).select("page_id", "normalized_url", "title", "language", "text_snippet", F.size("extracted_links").alias("link_count"))
     log = collect_stream(rows, run_folder(spark, "pages"))
-    return flat(log.latest(spark, ["normalized_url"]))
+    first = dedup.earliest(log.read(spark), ["normalized_url"], ["page_id"])
+    return flat(first.drop("page_id", "batch"))
 
 
 def stream_stages(spark, d):
