@@ -6,7 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the characters that str.split() and str.strip() treat as white space.
@@ -38,6 +38,17 @@ def ordered_distinct(values: Column) -> Column:
     return F.array_distinct(values)
 
 
+def unnest(df: DataFrame, values: Column, *names: str, keep: list | None = None) -> DataFrame:
+    """One row per array element as (keep..., [position,] element); ``names`` has one or two names.
+
+    The outer form is used and null rows dropped afterwards. For the inner form the optimizer adds
+    a test of the array's size below it, which would compute an expensive array again.
+    """
+    generator = F.posexplode_outer(values) if len(names) == 2 else F.explode_outer(values)
+    rows = df.select(*(keep or []), generator.alias(*names))
+    return rows.filter(F.col(names[-1]).isNotNull())
+
+
 def reusable(build: Callable) -> Callable:
     """Keep the expressions built for a set of column names.
 

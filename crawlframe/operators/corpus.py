@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions import html as H
 from crawlframe.functions import jsondoc as J
-from crawlframe.functions.lang import ordered_distinct, reusable
+from crawlframe.functions.lang import ordered_distinct, reusable, unnest
 from crawlframe.functions.text import collapse
 from crawlframe.functions.urls import domain_of, host_suffixes, normalize_url, url_key
 from crawlframe.schemas import MAX_LENGTHS
@@ -132,8 +132,8 @@ def _links(url: str, html: str) -> Column:
 
 def link_edges(pages: DataFrame, source: str = "normalized_url", url: str = "url", html: str = "html") -> DataFrame:
     """Link graph: one (src, dst, pos) row per canonical link of a page."""
-    links = F.posexplode(_links(url, html))
-    return pages.select(F.col(source).alias("src"), links.alias("pos", "dst")).select("src", "dst", "pos")
+    edges = unnest(pages, _links(url, html), "pos", "dst", keep=[F.col(source).alias("src")])
+    return edges.select("src", "dst", "pos")
 
 
 def in_domains(df: DataFrame, host: str, domains: DataFrame, domain: str = "domain") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlframe.functions.lang import unnest
 from crawlframe.functions.robots import allowed_by, request_target, rules_for
 from crawlframe.functions.urls import domain_of, keep_allowed, netloc_of, normalize_url, normalize_urls, url_key
 from crawlframe.operators.dedup import earliest
@@ -132,7 +133,7 @@ def expand_corpus(seeds: DataFrame, outlinks: DataFrame, per_page: int = FAN_OUT
         nxt = (
             level.filter(F.col("depth") < F.col("max_depth"))
             .join(pages, F.col("normalized_url") == F.col("_src"))
-            .select(*policy, F.explode(links).alias("link"), (F.col("depth") + 1).alias("depth"))
+            .transform(unnest, links, "link", keep=[*policy, (F.col("depth") + 1).alias("depth")])
             .withColumn("normalized_url", normalize_url("link"))
             .dropDuplicates(["job_id", "normalized_url"])
             .join(seen.select("job_id", "normalized_url"), ["job_id", "normalized_url"], "left_anti")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlframe.functions.lang import unnest
 from crawlframe.operators.ordered import CHUNK, count_before, join_carry, time_chunk
 from crawlframe.session import durable, small_or_shuffled
 
@@ -132,7 +133,7 @@ def ttl_claims(events: DataFrame, key: str, ts: str, ttl_seconds: int = DAY,
         cold_times = times.join(hot, keys, "left_anti")
     claims = (
         cold_times.groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-        .select(*keys, F.explode(_fold_claims(F.col("ts"), ttl)).alias("t"))
+        .transform(unnest, _fold_claims(F.col("ts"), ttl), "t", keep=keys)
     )
     if has_hot:
         claims = claims.unionByName(

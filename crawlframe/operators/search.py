@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlframe.functions.lang import let
+from crawlframe.functions.lang import let, unnest
 from crawlframe.functions.text import set_similarity, similarity, trigrams
 from crawlframe.session import fits
 
@@ -28,7 +28,7 @@ def score_pages(pages: DataFrame, query: str, threshold: float = THRESHOLD) -> D
     matching = F.filter(scores, lambda s: (s["title"] >= threshold) | (s["text"] >= threshold))
     zero = F.lit(0.0)
     best = F.greatest(F.coalesce(F.col("_s.title"), zero), F.coalesce(F.col("_s.text"), zero))
-    return pages.select("*", F.explode(matching).alias("_s")).withColumn("score", best).drop("_s")
+    return unnest(pages, matching, "_s", keep=["*"]).withColumn("score", best).drop("_s")
 
 
 def search_pages(pages: DataFrame, urls: DataFrame, query: str, limit: int = DEFAULT_LIMIT, offset: int = 0,
@@ -63,7 +63,9 @@ def page_by_url_id(pages: DataFrame, urls: DataFrame, url_id) -> DataFrame:
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Trigram posting table (trigram, key, n) with n the size of the document's trigram set."""
     sets = docs.select(F.col(key), trigrams(F.col(text)).alias("_grams"))
-    return sets.select(F.explode("_grams").alias("trigram"), F.col(key), F.size("_grams").alias("n"))
+    # The size is taken before the explode: else every row would carry the whole array along.
+    sized = sets.select(key, "_grams", F.size("_grams").alias("n"))
+    return unnest(sized, F.col("_grams"), "trigram", keep=[key, "n"])
 
 
 def similarity_join(docs: DataFrame, doc_key: str, doc_text: str, queries: DataFrame, query_key: str,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crawlframe.functions import html as H
 from crawlframe.functions import text as X
 from crawlframe.functions import urls as U
+from crawlframe.functions.lang import unnest
 from crawlframe.operators import corpus
 from crawlframe.operators.accounting import top_domains
 from crawlframe.operators.dedup import earliest
@@ -34,9 +35,9 @@ def domain_of(spark, d):
 
 
 def link_allowlist_array(spark, d):
-    links = H.page_links(H.visible_markup(F.col("html")), F.col("url"))
-    allowed = F.array(*[F.lit(x) for x in DOMAINS])
-    return flat(B.pages(spark, d).select("page_id", F.size(U.keep_allowed(links, allowed)).alias("kept"), F.size(links).alias("links")))
+    pages = corpus.extract_pages(B.pages(spark, d)).select("page_id", "extracted_links")
+    kept = U.keep_allowed(F.col("extracted_links"), F.array(*[F.lit(x) for x in DOMAINS]))
+    return flat(pages.select("page_id", F.size(kept).alias("kept"), F.size("extracted_links").alias("links")))
 
 
 def link_allowlist_semi(spark, d):
@@ -85,7 +86,7 @@ def extract_text(spark, d):
 
 def extract_links(spark, d):
     p = corpus.extract_pages(B.pages(spark, d))
-    return flat(p.select("page_id", F.posexplode("extracted_links").alias("pos", "link")))
+    return flat(unnest(p, F.col("extracted_links"), "pos", "link", keep=["page_id"]))
 
 
 def extract_page_numbers(spark, d):
