@@ -36,7 +36,7 @@ def main() -> None:
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = list(catalog.QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     spark = local_session(cpus)
     seconds = {}

@@ -241,8 +241,11 @@ def assign_round_robin(requests: DataFrame, pool: list[str], lane: list[str], or
     return turned.withColumn("proxy", F.element_at(members, (F.col("_turn") % len(pool)).cast("int") + 1)).drop("_turn", CHUNK)
 
 
-def current_status(transitions: DataFrame, order: list[str]) -> DataFrame:
-    """Last status per (job, URL); error and checkpoint keep their last non-null value."""
+def current_status(transitions: DataFrame, order: list[str], ts: str | None = None) -> DataFrame:
+    """Last status per (job, URL); error and checkpoint keep their last non-null value.
+
+    With a time column the time of the last change is added as updated_at.
+    """
     at = F.struct(*order)
 
     def sticky(name: str) -> Column:
@@ -250,15 +253,13 @@ def current_status(transitions: DataFrame, order: list[str]) -> DataFrame:
 
     return transitions.groupBy("job_id", "normalized_url").agg(
         F.max_by("status", at).alias("status"), sticky("error"), sticky("checkpoint"),
+        *([F.max(ts).alias("updated_at")] if ts else []),
     )
 
 
 def apply_transitions(job_urls: DataFrame, transitions: DataFrame, order: list[str], ts: str) -> DataFrame:
     """Merge transitions into the per-job URL table; an unknown row is created at depth 0."""
-    latest = current_status(transitions, order).join(
-        transitions.groupBy("job_id", "normalized_url").agg(F.max(ts).alias("updated_at")),
-        ["job_id", "normalized_url"],
-    )
+    latest = current_status(transitions, order, ts)
     joined = job_urls.alias("o").join(
         latest.alias("n"),
         (F.col("o.job_id") == F.col("n.job_id")) & (F.col("o.normalized_url") == F.col("n.normalized_url")),

@@ -97,7 +97,7 @@ def _chase_claims(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
 
 
 def ttl_claims(events: DataFrame, key: str, ts: str, ttl_seconds: int = DAY,
-               force: str | None = None, hot_rows: int = 200_000) -> DataFrame:
+               force: str | None = None, hot_rows: int = 50_000) -> DataFrame:
     """Accepted claims (key, ts): set-if-absent with an expiry anchored at the accepted claim.
 
     A forced event is always accepted and clears the claim without taking it. Keys with up to
