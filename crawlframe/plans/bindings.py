@@ -42,16 +42,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(read_table(spark, d, "documents"))
 
 
-def canonical_pages(spark: SparkSession, d: str) -> DataFrame:
-    """One page per canonical URL: the one with the smallest id."""
-    named = pages(spark, d).withColumn("normalized_url", normalize_url("url"))
+def canonical_pages(spark: SparkSession, d: str, *extra) -> DataFrame:
+    """One page per canonical URL: the one with the smallest id.
+
+    Only the ``extra`` columns are carried through the aggregation besides id and URLs.
+    """
+    named = pages(spark, d).select("page_id", "url", normalize_url("url").alias("normalized_url"), *extra)
     return earliest(named, ["normalized_url"], ["page_id"])
 
 
 def urls(spark: SparkSession, d: str) -> DataFrame:
     """URL table of the pages; state and times come from the order of the same number."""
     o = read_table(spark, d, "orders")
-    u = canonical_pages(spark, d)
+    u = canonical_pages(spark, d, F.sha2("html", 256).alias("content_hash"))
     status = (
         F.when(F.col("o_orderstatus") == "F", "parsed").when(F.col("o_orderstatus") == "O", "fetched")
         .when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
@@ -60,7 +63,7 @@ def urls(spark: SparkSession, d: str) -> DataFrame:
         F.col("page_id").alias("id"), F.col("o_custkey").alias("job_id"),
         F.col("url").alias("canonical_url"), "normalized_url",
         domain_of(F.col("normalized_url")).alias("domain"), status.alias("status"),
-        F.sha2("html", 256).alias("content_hash"), (F.col("page_id") % 4).cast("int").alias("depth"),
+        "content_hash", (F.col("page_id") % 4).cast("int").alias("depth"),
         F.col("o_orderdate").alias("last_crawled_at"), F.col("o_orderdate").alias("created_at"),
     )
 
@@ -120,7 +123,7 @@ def link_table(spark: SparkSession, d: str) -> DataFrame:
 
 def robots(spark: SparkSession, d: str) -> DataFrame:
     """One robots.txt per host of the corpus; its form follows from the host name."""
-    named = canonical_pages(spark, d).select(domain_of(F.col("normalized_url")).alias("site")).distinct()
+    named = pages(spark, d).select(domain_of(normalize_url("url")).alias("site")).distinct()
     kind = F.length("site") % 3
     text = (
         F.when(kind == 0, "User-agent: *\nAllow: /en/4\nDisallow: /en/\n")

@@ -73,7 +73,7 @@ def frontier_bfs(spark, d):
 
 def frontier_corpus(spark, d):
     """Every page as a seed of one of ten jobs; links stay inside the parent domain."""
-    p = extract_pages(B.canonical_pages(spark, d).select("page_id", "normalized_url", "url", "html"))
+    p = extract_pages(B.canonical_pages(spark, d, "html").select("page_id", "normalized_url", "url", "html"))
     seeds = p.select(
         (F.col("page_id") % 10).alias("job_id"), "normalized_url", F.lit(1).alias("max_depth"),
         F.array(F.lit("example.com"), F.lit("example.org")).alias("allowed_domains"),
@@ -117,7 +117,7 @@ def fetch_outcome(spark, d):
     claims = dedup.ttl_claims(log.filter(~F.col("is_duplicate")), "user_id", "ts", dedup.DAY).select("user_id", "ts", F.lit(False).alias("is_claimed"))
     log = log.join(claims, ["user_id", "ts"], "left").withColumn("is_claimed", F.col("is_claimed").isNull())
 
-    pages = artifacts(B.canonical_pages(spark, d), F.lit("job-1"))
+    pages = artifacts(B.canonical_pages(spark, d, "html"), F.lit("job-1"))
     pages = crawl.robots_filter(pages, B.robots(spark, d), AGENT)
     pages = pages.select(
         F.col("page_id").alias("user_id"), "normalized_url", "checksum", "storage_key", "allowed",

@@ -96,7 +96,7 @@ def stream_upsert_pages(spark, d):
 def stream_stages(spark, d):
     """Discovered URLs of all pages through crawl, parse and clean."""
     work = run_folder(spark, "stages")
-    corpus = B.canonical_pages(spark, d).select("normalized_url", "html", F.lit(200).alias("http_status"), "page_id")
+    corpus = B.canonical_pages(spark, d, "html").select("normalized_url", "html", F.lit(200).alias("http_status"), "page_id")
     seeds = B.pages(spark, d).withColumn("normalized_url", normalize_url("url")).select(
         F.col("page_id").cast("string").alias("event_id"), F.lit("t").alias("trace_id"), F.lit("job").alias("job_id"), "url", "normalized_url",
         F.lit(1).alias("schema_version"), F.lit(1).alias("attempt"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
