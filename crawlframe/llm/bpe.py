@@ -45,7 +45,7 @@ class Codec:
     """Encoder and decoder of one vocabulary; keeps the codes of the words it has met, up to ``keep`` of them."""
 
     content: str
-    keep: int = 1_000_000
+    keep: int = 400_000
 
     def __post_init__(self):
         spec = json.loads(self.content)
