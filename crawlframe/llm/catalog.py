@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from crawlframe.llm.bpe import op10_bpe
+from crawlframe.llm.fingerprint import op6_fingerprint
 from crawlframe.llm.language import op8_language
 from crawlframe.llm.mixing import ORACLE_MIX, op1_mixing
 from crawlframe.llm.quality import op9_quality
+from crawlframe.llm.urlfilter import op4_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op4_url_filter": op4_url_filter,
+    "op6_fingerprint": op6_fingerprint,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
