@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from crawlframe.llm.bpe import op10_bpe
 from crawlframe.llm.fingerprint import op6_fingerprint
+from crawlframe.llm.html_text import op3_html
 from crawlframe.llm.language import op8_language
 from crawlframe.llm.mixing import ORACLE_MIX, op1_mixing
 from crawlframe.llm.quality import op9_quality
 from crawlframe.llm.urlfilter import op4_url_filter
+from crawlframe.llm.vectors import ORACLE_EMBEDDINGS, op7_embeddings
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op3_html": op3_html,
     "op4_url_filter": op4_url_filter,
     "op6_fingerprint": op6_fingerprint,
+    "op7_embeddings": op7_embeddings,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
 #: Where SQL can express the query.
-ORACLE = {"op1_mixing": ORACLE_MIX}
+ORACLE = {"op1_mixing": ORACLE_MIX, "op7_embeddings": ORACLE_EMBEDDINGS}
