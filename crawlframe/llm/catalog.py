@@ -5,6 +5,7 @@ from __future__ import annotations
 from crawlframe.llm.bpe import op10_bpe
 from crawlframe.llm.fingerprint import op6_fingerprint
 from crawlframe.llm.html_text import op3_html
+from crawlframe.llm.jaccard import ORACLE_JACCARD, op2_ngram_join
 from crawlframe.llm.language import op8_language
 from crawlframe.llm.mixing import ORACLE_MIX, op1_mixing
 from crawlframe.llm.quality import op9_quality
@@ -13,6 +14,7 @@ from crawlframe.llm.vectors import ORACLE_EMBEDDINGS, op7_embeddings
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_html": op3_html,
     "op4_url_filter": op4_url_filter,
     "op6_fingerprint": op6_fingerprint,
@@ -23,4 +25,4 @@ QUERIES = {
 }
 
 #: Where SQL can express the query.
-ORACLE = {"op1_mixing": ORACLE_MIX, "op7_embeddings": ORACLE_EMBEDDINGS}
+ORACLE = {"op1_mixing": ORACLE_MIX, "op2_ngram_join": ORACLE_JACCARD, "op7_embeddings": ORACLE_EMBEDDINGS}
