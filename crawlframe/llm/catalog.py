@@ -8,6 +8,7 @@ from crawlframe.llm.html_text import op3_html
 from crawlframe.llm.jaccard import ORACLE_JACCARD, op2_ngram_join
 from crawlframe.llm.language import op8_language
 from crawlframe.llm.mixing import ORACLE_MIX, op1_mixing
+from crawlframe.llm.passages import op5_passages
 from crawlframe.llm.quality import op9_quality
 from crawlframe.llm.urlfilter import op4_url_filter
 from crawlframe.llm.vectors import ORACLE_EMBEDDINGS, op7_embeddings
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_html": op3_html,
     "op4_url_filter": op4_url_filter,
+    "op5_passages": op5_passages,
     "op6_fingerprint": op6_fingerprint,
     "op7_embeddings": op7_embeddings,
     "op8_language": op8_language,
