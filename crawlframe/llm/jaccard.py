@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crawlframe.llm.common import map_rows, stored, table
@@ -24,7 +25,8 @@ from crawlframe.llm.graph import components
 from crawlframe.llm.words import MIX, grouped, scramble, shingles
 
 #: A shingle is frequent from this many occurrences in (hash-ordered) prefixes on, or from this share of all of them: the
-#: table of frequent shingles, which every task gets, so has at most 200,000 rows.
+#: table of frequent shingles, which every task gets, so has at most 200,000 rows. Occurrences are counted in groups of
+#: 2,000 documents; those alone in their group are left out of the count (the order only decides the work, not the result).
 FREQUENT, SHARE = 32, 200_000
 SKETCH_WORDS = 16
 BLOCK = 400
@@ -50,7 +52,7 @@ class Threshold:
         size = (self.percent / 100 - 1e-4) ** -band
         return max(1, int(size * (100 - self.percent) / 200))
 
-    def signatures(self, tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[list[int], int]:
+    def signatures(self, tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
         """Signatures of a set of sorted shingles, and its number of rare shingles in the prefix.
 
         A set so small that it may lack no shingle and its partner can have none more only links with an equal set, and
@@ -58,7 +60,7 @@ class Threshold:
         """
         n = len(tokens)
         if n == 0 or 100 * n < self.percent * (n + 1):
-            return [], 0
+            return np.zeros(0, np.int64), 0
         at = np.searchsorted(frequent, tokens)
         at[at == len(frequent)] = 0
         often = frequent[at] == tokens if len(frequent) else np.zeros(n, bool)
@@ -82,7 +84,7 @@ class Threshold:
                     a, b = t[:end - gap][ok], t[gap:][ok]
                     lo, hi = np.minimum(a, b), np.maximum(a, b)
                     out.append(scramble((lo * MIX + hi) * MIX + np.uint64(band + 1)))
-        return np.concatenate(out).view(np.int64).tolist(), len(rare)
+        return np.unique(np.concatenate(out)).view(np.int64), len(rare)
 
 
 def identity(tokens: np.ndarray) -> tuple[int, int]:
@@ -118,12 +120,17 @@ def bloom(ids: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, by sketches first; ``sets`` has id, n, sketch; ``docs`` has id and text."""
+def by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave room for a link, with their sizes na and nb."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(no_further(F.col("na"), F.col("nb"), apart, percent))
-    close = stored(close.select("a", "b", "na", "nb"), "close-pairs")
+    return close.select("a", "b", "na", "nb")
+
+
+def verified(close: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``close`` whose sets link; ``docs`` has id and text. A Bloom filter of fixed size picks the texts."""
+    close = stored(close, "close-pairs")
     ids = close.select(F.explode(F.array("a", "b")).alias("id"))
     sent = docs.sparkSession.sparkContext.broadcast(bloom(ids, "id"))
 
@@ -156,47 +163,56 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def read(rows: dict):
-        out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "low")}
-        for i, t in zip(rows["id"], rows["text"], strict=True):
-            tokens = shingles(t, k)
-            s1, s2 = identity(tokens)
-            low = tokens[:limit.spare(len(tokens)) + 1].view(np.int64)
-            for c, v in (("id", i), ("n", len(tokens)), ("s1", s1), ("s2", s2), ("low", low)):
-                out[c].append(v)
+        out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "often", "times")}
+        for at in range(0, len(rows["id"]), 2_000):
+            low = []
+            for i, t in zip(rows["id"][at:at + 2_000], rows["text"][at:at + 2_000], strict=True):
+                tokens = shingles(t, k)
+                s1, s2 = identity(tokens)
+                low.append(tokens[:limit.spare(len(tokens)) + 1])
+                for c, v in (("id", i), ("n", len(tokens)), ("s1", s1), ("s2", s2), ("often", None), ("times", None)):
+                    out[c].append(v)
+            t, c = np.unique(np.concatenate(low), return_counts=True)
+            out["often"][-1], out["times"][-1] = t[c > 1].view(np.int64), c[c > 1]
         return out
 
-    first = stored(map_rows(docs, read, "id long, n long, s1 long, s2 long, low array<long>"), "shingle-sets")
+    schema = "id long, n long, s1 long, s2 long, often array<long>, times array<long>"
+    first = stored(map_rows(docs, read, schema), "shingle-sets")
     rep = first.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     rep = stored(rep, "shingle-classes")
-    low = first.where("id IS NOT NULL")
-    total = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    often = low.select(F.explode("low").alias("t")).groupBy("t").count().where(F.col("count") >= max(FREQUENT, -(-total // SHARE)))
-    table_ = sorted((r["t"] % (1 << 64), r["count"]) for r in often.collect())
+    total = first.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
+    often = first.where("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy("e.often").agg(
+        F.sum("e.times").alias("count")).where(F.col("count") >= max(FREQUENT, -(-total // SHARE)))
+    table_ = sorted((r["often"] % (1 << 64), r["count"]) for r in often.collect())
     sent = docs.sparkSession.sparkContext.broadcast(
         (np.array([t for t, _ in table_], np.uint64), np.array([c for _, c in table_], np.int64)))
 
     def sign(rows: dict):
-        out: dict[str, list] = {c: [] for c in ("id", "n", "s1", "s2", "rare", "sketch", "sigs")}
+        out: dict[str, list] = {c: [] for c in ("id", "n", "rare", "sketch", "sigs")}
         for i, t in zip(rows["id"], rows["text"], strict=True):
             tokens = shingles(t, k)
-            s1, s2 = identity(tokens)
             sigs, rare = limit.signatures(tokens, *sent.value)
-            for c, v in (("id", i), ("n", len(tokens)), ("s1", s1), ("s2", s2), ("rare", rare), ("sketch", sketch(tokens)), ("sigs", sigs)):
+            for c, v in (("id", i), ("n", len(tokens)), ("rare", rare), ("sketch", sketch(tokens)), ("sigs", sigs)):
                 out[c].append(v)
         return out
 
-    signed = map_rows(docs.where("id IS NOT NULL"), sign,
-                      "id long, n long, s1 long, s2 long, rare int, sketch array<long>, sigs array<long>")
-    own = signed.join(rep, ["s1", "s2", "n"]).where("id = rep").drop("rep", "s1", "s2")
-    sets = stored(own, "signatures")  # one row per different set (and repeated row of its smallest key)
-    posting = sets.select("id", "n", "rare", F.explode("sigs").alias("sig"))
-    hub = posting.groupBy("sig").agg(F.min(F.struct("rare", "id", "n")).alias("hub"), F.max("id").alias("last"), F.min("id").alias("least"))
-    shared = posting.join(hub.where("last > least").select("sig", "hub"), "sig").select("sig", "id", "n", "hub")
-    shared = stored(shared, "shared-signatures").distinct()
+    signed = map_rows(docs.where("id IS NOT NULL"), sign, "id long, n long, rare int, sketch array<long>, sigs array<long>")
+    signed = stored(signed, "signatures")
+    posting = signed.select("id", "n", "rare", F.explode("sigs").alias("sig"))
+    one = W.partitionBy("sig").orderBy("rare", "id", "n")  # a sorted stream; nothing of a group is gathered
+    shared = posting.withColumns({"p": F.lag("id").over(one), "q": F.lead("id").over(one)}).where("p <> id OR q <> id")
+    shared = stored(shared.drop("p", "q"), "shared-signatures").join(rep.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
+    # of signatures with the same members one is enough
+    members = shared.groupBy("sig").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+        F.min(F.struct("rare", "id", "n")).alias("hub")).where("m > 1")
+    members = members.groupBy("m", "x", "y").agg(F.min("sig").alias("sig"), F.min("hub").alias("hub"))
+    shared = stored(shared.join(members.select("sig", "hub"), "sig").select("sig", "id", "n", "hub"), "signature-members")
     may = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent) & (F.col("id") != F.col("hub.id"))
     stars = shared.where(may).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-    sketches = sets.select("id", "n", "sketch").dropDuplicates(["id"])
-    edges = stored(verified(stars, sketches, docs, k, percent), "star-links")
+    sketches = signed.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
+    sketches = stored(sketches, "sketches")
+    edges = stored(verified(by_sketch(stars, sketches, percent), docs, k, percent), "star-links")
     groups = components(edges)
 
     # what the stars did not connect: members of different components that share a signature, in blocks
@@ -221,7 +237,7 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
         ids, n, c = (np.array(rows[x], np.int64) for x in ("id", "n", "c"))
         bits = np.array(rows["sketch"], np.int64).view(np.uint64)
         q, t = np.nonzero(ask)[0], np.nonzero(~ask)[0]
-        out: dict[str, list] = {"a": [], "b": []}
+        out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
         for i in q.tolist():
             ok = (c[t] != c[i]) & ((ids[t] > ids[i]) | (c[t] == rows["main"][0]))
             ok &= (np.minimum(n[t], n[i]) * 100 >= np.maximum(n[t], n[i]) * percent)
@@ -229,12 +245,13 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
                 j = t[ok]
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
                 j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
-                out["a"] += np.minimum(ids[j], ids[i]).tolist()
-                out["b"] += np.maximum(ids[j], ids[i]).tolist()
+                first_ = ids[j] < ids[i]
+                for name, x, y in (("a", ids[j], ids[i]), ("b", ids[i], ids[j]), ("na", n[j], n[i]), ("nb", n[i], n[j])):
+                    out[name] += np.where(first_, x, y).tolist()
         return out if out["a"] else None
 
-    more = stored(grouped(met, ["sig", "i", "j"], compare, "a long, b long"), "block-pairs").distinct()
-    more = stored(verified(more, sketches, docs, k, percent), "block-links")
+    more = stored(grouped(met, ["sig", "i", "j"], compare, "a long, b long, na long, nb long"), "block-pairs").distinct()
+    more = stored(verified(more, docs, k, percent), "block-links")
     reps = components(edges.unionByName(more)).select(F.col("node").alias("rep"), "component")
     named = rep.join(reps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     whole = first.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
