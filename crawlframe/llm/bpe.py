@@ -45,7 +45,7 @@ class Codec:
     """Encoder and decoder of one vocabulary; keeps the codes of the words it has met, up to ``keep`` of them."""
 
     content: str
-    keep: int = 400_000
+    keep: int = 250_000
 
     def __post_init__(self):
         spec = json.loads(self.content)
@@ -175,13 +175,11 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_i
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(rows: dict):
-        c = codec(sent.value)
-        for at in range(0, len(rows["t"]), 500):
-            ids = c.encode(rows["t"][at:at + 500])
-            yield {key: rows[key][at:at + 500], "ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
+        ids = codec(sent.value).encode(rows["t"])
+        return {key: rows[key], "ids": ids, "n_tokens": [len(x) // 4 for x in ids]}
 
     kind = dict(df.dtypes)[key]
-    return map_rows(df.select(F.col(key), F.col(text).alias("t")), work, f"`{key}` {kind}, ids binary, n_tokens long")
+    return map_rows(df.select(F.col(key), F.col(text).alias("t")), work, f"`{key}` {kind}, ids binary, n_tokens long", 400)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -194,7 +192,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
         rows["decoded"] = [None if x is None else c.decode(x) for x in rows[ids]]
         return rows
 
-    return map_rows(df, work, schema)
+    return map_rows(df, work, schema, 400)
 
 
 def op10_bpe(spark: SparkSession, folder: str, vocabulary_path: str | None = None) -> DataFrame:

@@ -22,8 +22,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict] | dict], schema: str) -> DataFrame:
-    """Run ``work`` on Arrow batches given as {column: list}; it returns the same for the result, or an iterator of them."""
+def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict] | dict], schema: str, rows_at_once: int = 2_000) -> DataFrame:
+    """Run ``work`` on pieces of Arrow batches given as {column: list}; it returns the same for the result, or an iterator of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -31,9 +31,10 @@ def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict] | dict], schem
 
     def batches(rows):
         for batch in rows:
-            out = work(batch.to_pydict())
-            for part in [out] if isinstance(out, dict) else out:
-                yield pa.RecordBatch.from_pydict({f.name: pa.array(part[f.name], f.type) for f in target}, schema=target)
+            for at in range(0, batch.num_rows, rows_at_once):
+                out = work(batch.slice(at, rows_at_once).to_pydict())
+                for part in [out] if isinstance(out, dict) else out:
+                    yield pa.RecordBatch.from_pydict({f.name: pa.array(part[f.name], f.type) for f in target}, schema=target)
 
     return df.mapInArrow(batches, schema)
 

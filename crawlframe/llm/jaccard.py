@@ -30,6 +30,7 @@ from crawlframe.llm.words import MIX, grouped, scramble, shingles
 FREQUENT, SHARE = 32, 200_000
 SKETCH_WORDS = 16
 BLOCK = 400
+STARS = 2
 BLOOM_BITS = 1 << 23
 
 
@@ -93,10 +94,10 @@ def identity(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
-def sketch(tokens: np.ndarray) -> list[int]:
-    """Parity of the number of shingles in each of 1024 hash buckets."""
-    bits = np.bincount((tokens % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def sketch(tokens: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * ``words`` hash buckets."""
+    bits = np.bincount((tokens % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def no_further(n: Column, m: Column, apart: Column, percent: int) -> Column:
@@ -123,7 +124,9 @@ def bloom(ids: DataFrame, key: str) -> np.ndarray:
 def by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches leave room for a link, with their sizes na and nb."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    half = lambda s, size: F.when(F.size(s) > size, F.zip_with(F.slice(s, 1, size), F.slice(s, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(s))
+    size = F.least(F.size("sa"), F.size("sb"))  # the larger of two sketches folds to the size of the other
+    apart = F.aggregate(F.zip_with(half("sa", size), half("sb", size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(no_further(F.col("na"), F.col("nb"), apart, percent))
     return close.select("a", "b", "na", "nb")
 
@@ -136,18 +139,22 @@ def verified(close: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def work(rows: dict):
         bits = sent.value
-        out: dict[str, list] = {"id": [], "tokens": []}
+        out: dict[str, list] = {"id": [], "n": [], "sketch": [], "tokens": []}
         for i, t, x, y in zip(rows["id"], rows["text"], rows["x"], rows["y"], strict=True):
             if all(int(bits[h >> 6]) >> (h & 63) & 1 for h in (x, y)):
+                tokens = shingles(t, k)
                 out["id"].append(i)
-                out["tokens"].append(shingles(t, k).view(np.int64))
+                out["n"].append(len(tokens))
+                out["sketch"].append(sketch(tokens, 1 << max(4, len(tokens) // 16).bit_length()))  # 4 to 8 bits a shingle
+                out["tokens"].append(tokens.view(np.int64))
         return out
 
     x, y = bloom_hashes("id")
-    full = map_rows(docs.select("id", "text", x.alias("x"), y.alias("y")), work, "id long, tokens array<long>")
+    full = map_rows(docs.select("id", "text", x.alias("x"), y.alias("y")), work, "id long, n long, sketch array<long>, tokens array<long>")
     full = stored(full.join(ids.distinct(), "id"), "verified-sets").dropDuplicates(["id"])
     of = lambda c: full.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
     both = F.size(F.array_intersect("ta", "tb"))
+    close = by_sketch(close.select("a", "b"), full.select("id", "n", "sketch"), percent)
     return close.join(of("a"), "a").join(of("b"), "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
@@ -207,19 +214,28 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
         F.min(F.struct("rare", "id", "n")).alias("hub")).where("m > 1")
     members = members.groupBy("m", "x", "y").agg(F.min("sig").alias("sig"), F.min("hub").alias("hub"))
-    shared = stored(shared.join(members.select("sig", "hub"), "sig").select("sig", "id", "n", "hub"), "signature-members")
-    may = (F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent) & (F.col("id") != F.col("hub.id"))
-    stars = shared.where(may).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+    shared = stored(shared.join(members.select("sig", "hub"), "sig").select("sig", "id", "n", "rare", "hub"), "signature-members")
     sketches = signed.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
     sketches = stored(sketches, "sketches")
-    edges = stored(verified(by_sketch(stars, sketches, percent), docs, k, percent), "star-links")
-    groups = components(edges)
+    left, edges = shared.drop("hub"), None
+    for turn in range(STARS):  # each signature's members are held against one of them, then the rest against one of the rest
+        hubs = left.groupBy("sig").agg(F.min(F.struct("rare", "id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
+        star = left.join(hubs, "sig").where("id <> hub.id")
+        may = F.least("n", "hub.n") * 100 >= F.greatest("n", "hub.n") * percent
+        pairs = star.where(may).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        more = stored(verified(by_sketch(pairs, sketches, percent), docs, k, percent), f"star-links-{turn}")
+        edges = more if edges is None else edges.unionByName(more)
+        groups = components(edges)
+        of_id = groups.select(F.col("node").alias("id"), F.col("component").alias("c"))
+        of_hub = groups.select(F.col("node").alias("_hub"), F.col("component").alias("h"))
+        named = star.join(of_id, "id", "left").join(of_hub, F.col("hub.id") == F.col("_hub"), "left")
+        left = stored(named.where("h IS NULL OR c IS NULL OR c <> h").select("sig", "id", "n", "rare"), f"unconnected-{turn}")
 
     # what the stars did not connect: members of different components that share a signature, in blocks
     member = shared.join(groups, F.col("id") == F.col("node"), "left").select(
         "sig", "id", "n", F.coalesce("component", "id").alias("c"), F.col("hub.id").alias("hub"))
     member = stored(member.where("id <> hub"), "members")
-    main = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.mode("c").alias("main"))
+    main = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.mode("c", True).alias("main"))
     main = main.where("lo < hi").drop("lo", "hi")
     rest = member.join(main, "sig")
     other = rest.groupBy("sig").agg(F.sum((F.col("c") != F.col("main")).cast("long")).alias("q"))
