@@ -238,7 +238,7 @@ def test_quality():
     fresh = [" ".join(prose(1_000 + i, 40)) for i in range(30)]
     assert (net.score(fresh) >= 0.5).all() and (net.score([t.replace(" ", "### ") for t in fresh]) < 0.5).all()
     whole = net.score([None, "", fresh[0], "x" * 300_000, fresh[0]])
-    assert ((whole >= 0) & (whole <= 1)).all() and whole[2] == whole[4] and whole[0] == whole[1]
+    assert ((whole >= 0) & (whole <= 1)).all() and whole[[2, 0]] == pytest.approx(whole[[4, 1]], rel=1e-5)
     assert net.score([fresh[0]])[0] == pytest.approx(whole[2], rel=1e-6)
     assert quality.fit([], np.array([])).score(["a"]).shape == (1,)
 
