@@ -42,9 +42,10 @@ def link_allowlist_array(spark, d):
 
 def link_allowlist_semi(spark, d):
     edges = corpus.link_edges(B.pages(spark, d), source="page_id").withColumn("host", U.domain_of(F.col("dst")))
-    wanted = B.pages(spark, d).select(
+    done = B.read_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page_id"))
+    wanted = B.pages(spark, d).join(done, "page_id", "left_semi").select(
         F.regexp_extract(U.domain_of(U.normalize_url("url")), r"^[^.]+\.(.*)$", 1).alias("domain")
-    ).filter(F.startswith("domain", F.lit("th")))
+    )
     return flat(corpus.in_domains(edges, "host", wanted).select(F.col("src").alias("page_id"), "dst"))
 
 
@@ -173,8 +174,7 @@ ORACLE = {
     "link_allowlist_array": f"""WITH {S.LINKS} SELECT page_id, count(*) FILTER (len(list_filter({DOMAIN_LIST},
       lambda a: {S.host('dst')} = a OR ends_with({S.host('dst')}, '.' || a))) > 0) AS kept, count(*) AS links FROM links GROUP BY page_id""",
     "link_allowlist_semi": rf"""WITH {S.LINKS}, {_PC},
-      w AS (SELECT DISTINCT regexp_extract({S.host('nu')}, '^[^.]+\.(.*)$', 1) AS domain FROM pc),
-      w2 AS (SELECT domain FROM w WHERE starts_with(domain, 'th'))
+      w2 AS (SELECT DISTINCT regexp_extract({S.host('nu')}, '^[^.]+\.(.*)$', 1) AS domain FROM pc JOIN orders ON o_orderkey = page_id WHERE o_orderstatus = 'F')
       SELECT page_id, dst FROM links WHERE EXISTS (SELECT 1 FROM w2 WHERE {S.host('dst')} = domain OR ends_with({S.host('dst')}, '.' || domain))""",
     "link_resolve": _RESOLVE,
     "href_filter": f"WITH {S.markup()} SELECT page_id, array_to_string({S.HREFS}, chr(10)) AS hrefs FROM mk",

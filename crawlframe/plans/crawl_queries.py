@@ -78,7 +78,7 @@ def frontier_corpus(spark, d):
         (F.col("page_id") % 10).alias("job_id"), "normalized_url", F.lit(1).alias("max_depth"),
         F.array(F.lit("example.com"), F.lit("example.org")).alias("allowed_domains"),
     )
-    reached = crawl.expand_corpus(seeds, p.select("normalized_url", "extracted_links"), per_page=4)
+    reached = crawl.expand_corpus(seeds, p.select("normalized_url", "extracted_links"))
     return flat(reached)
 
 
@@ -296,7 +296,7 @@ ORACLE = {
     "frontier_corpus": f"""WITH {S.LINKS}, {S.CANONICAL_PAGES},
       kept AS (SELECT l.page_id, dst, row_number() OVER (PARTITION BY l.page_id ORDER BY pos) AS n FROM links l JOIN cpages USING (page_id)
         WHERE {S.host('dst')} IN ('example.com', 'example.org') OR ends_with({S.host('dst')}, '.example.com') OR ends_with({S.host('dst')}, '.example.org')),
-      r AS (SELECT page_id % 10 AS job_id, nu AS normalized_url, 0::BIGINT AS depth FROM cpages UNION ALL SELECT page_id % 10, dst, 1 FROM kept WHERE n <= 4)
+      r AS (SELECT page_id % 10 AS job_id, nu AS normalized_url, 0::BIGINT AS depth FROM cpages UNION ALL SELECT page_id % 10, dst, 1 FROM kept WHERE n <= 50)
       SELECT job_id, normalized_url, min(depth) AS depth FROM r GROUP BY 1, 2""",
     "robots_filter": f"WITH {_ROBOTS} SELECT page_id, allowed FROM verdict",
     "politeness_schedule": _POLITE.format(key="user_id", g="36000000000::BIGINT", b=2) + " SELECT event_id, user_id, arrival_no, wait::BIGINT AS wait_us FROM w",
