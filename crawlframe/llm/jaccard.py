@@ -8,7 +8,7 @@ extended by a shingle for each class, because sets that share no pair may still
     rare shingles + sum over classes of (shingles in the class - 1) >= shingles that may be missing + 1
 
 Sets of equal signature are compared with the one that has the fewest rare shingles; what that does not connect is compared
-in blocks. Parity sketches (an exact bound on the difference) go first, the sets themselves decide.
+in blocks. Parity sketches that grow with the set (an exact bound on the difference) go first, the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from crawlframe.llm.words import MIX, grouped, scramble, shingles
 #: table of frequent shingles, which every task gets, so has at most 200,000 rows. Occurrences are counted in groups of
 #: 2,000 documents; those alone in their group are left out of the count (the order only decides the work, not the result).
 FREQUENT, SHARE = 32, 200_000
-SKETCH_WORDS = 16
+#: Words of the smallest sketch, and of the largest form that travels with every signature into the blocks.
+SKETCH_WORDS, FOLDED_WORDS = 16, 64
 BLOCK = 400
 STARS = 2
 BLOOM_BITS = 1 << 23
@@ -94,12 +95,18 @@ def identity(tokens: np.ndarray) -> tuple[int, int]:
     return int(np.int64(a)), int(np.int64(b))
 
 
-def sketch(tokens: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """Parity of the number of shingles in each of 64 * ``words`` hash buckets."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of some hash buckets, 64 to a word: a power of two, from 2 a shingle on."""
+    words = max(SKETCH_WORDS, 1 << (len(tokens) // 32).bit_length())
     bits = np.bincount((tokens % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch over fewer buckets; a shorter one stays."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words)) if len(bits) > words else bits
+
+
 def no_further(n: Column, m: Column, apart: Column, percent: int) -> Column:
     """Whether sets of n and m shingles may link if ``apart`` is a lower bound on those in one of them only."""
     return (100 + percent) * apart <= (100 - percent) * (n + m)
@@ -139,22 +146,19 @@ def verified(close: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
 
     def work(rows: dict):
         bits = sent.value
-        out: dict[str, list] = {"id": [], "n": [], "sketch": [], "tokens": []}
+        out: dict[str, list] = {"id": [], "tokens": []}
         for i, t, x, y in zip(rows["id"], rows["text"], rows["x"], rows["y"], strict=True):
             if all(int(bits[h >> 6]) >> (h & 63) & 1 for h in (x, y)):
                 tokens = shingles(t, k)
                 out["id"].append(i)
-                out["n"].append(len(tokens))
-                out["sketch"].append(sketch(tokens, 1 << max(4, len(tokens) // 16).bit_length()))  # 4 to 8 bits a shingle
                 out["tokens"].append(tokens.view(np.int64))
         return out
 
     x, y = bloom_hashes("id")
-    full = map_rows(docs.select("id", "text", x.alias("x"), y.alias("y")), work, "id long, n long, sketch array<long>, tokens array<long>")
+    full = map_rows(docs.select("id", "text", x.alias("x"), y.alias("y")), work, "id long, tokens array<long>")
     full = stored(full.join(ids.distinct(), "id"), "verified-sets").dropDuplicates(["id"])
     of = lambda c: full.select(F.col("id").alias(c), F.col("tokens").alias(f"t{c}"))
     both = F.size(F.array_intersect("ta", "tb"))
-    close = by_sketch(close.select("a", "b"), full.select("id", "n", "sketch"), percent)
     return close.join(of("a"), "a").join(of("b"), "b").where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
@@ -195,15 +199,17 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
         (np.array([t for t, _ in table_], np.uint64), np.array([c for _, c in table_], np.int64)))
 
     def sign(rows: dict):
-        out: dict[str, list] = {c: [] for c in ("id", "n", "rare", "sketch", "sigs")}
+        out: dict[str, list] = {c: [] for c in ("id", "n", "rare", "sketch", "folded", "sigs")}
         for i, t in zip(rows["id"], rows["text"], strict=True):
             tokens = shingles(t, k)
             sigs, rare = limit.signatures(tokens, *sent.value)
-            for c, v in (("id", i), ("n", len(tokens)), ("rare", rare), ("sketch", sketch(tokens)), ("sigs", sigs)):
+            bits = sketch(tokens)
+            low = folded(bits, FOLDED_WORDS) if len(bits) > FOLDED_WORDS else None
+            for c, v in (("id", i), ("n", len(tokens)), ("rare", rare), ("sketch", bits), ("folded", low), ("sigs", sigs)):
                 out[c].append(v)
         return out
 
-    signed = map_rows(docs.where("id IS NOT NULL"), sign, "id long, n long, rare int, sketch array<long>, sigs array<long>")
+    signed = map_rows(docs.where("id IS NOT NULL"), sign, "id long, n long, rare int, sketch array<long>, folded array<long>, sigs array<long>")
     signed = stored(signed, "signatures")
     posting = signed.select("id", "n", "rare", F.explode("sigs").alias("sig"))
     one = W.partitionBy("sig").orderBy("rare", "id", "n")  # a sorted stream; nothing of a group is gathered
@@ -215,7 +221,7 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
         F.min(F.struct("rare", "id", "n")).alias("hub")).where("m > 1")
     members = members.groupBy("m", "x", "y").agg(F.min("sig").alias("sig"), F.min("hub").alias("hub"))
     shared = stored(shared.join(members.select("sig", "hub"), "sig").select("sig", "id", "n", "rare", "hub"), "signature-members")
-    sketches = signed.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
+    sketches = signed.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch", "folded").dropDuplicates(["id"])
     sketches = stored(sketches, "sketches")
     left, edges = shared.drop("hub"), None
     for turn in range(STARS):  # each signature's members are held against one of them, then the rest against one of the rest
@@ -246,27 +252,41 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
                                           F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"))
     told = rest.select("sig", "id", "n", "c", "main", F.lit(0).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"),
                        piece("nt").alias("j"))
-    met = asks.unionByName(told).join(sketches.select("id", "sketch"), "id")
+    met = asks.unionByName(told).join(sketches.select("id", F.coalesce("folded", "sketch").alias("sketch")), "id")
 
     def compare(rows: dict):
         ask = np.array(rows["ask"], bool)
         ids, n, c = (np.array(rows[x], np.int64) for x in ("id", "n", "c"))
-        bits = np.array(rows["sketch"], np.int64).view(np.uint64)
+        bits = [np.array(s, np.int64) for s in rows["sketch"]]
+        words = np.array([len(b) for b in bits])
+        levels = []
+        for size in sorted({SKETCH_WORDS, *words.tolist()}):  # of each size the rows that have it, folded to it
+            at = np.nonzero(words >= size)[0]
+            place = np.zeros(len(bits), np.int64)
+            place[at] = np.arange(len(at))
+            levels.append((size, place, np.array([folded(bits[x], size) for x in at.tolist()]).view(np.uint64)))
         q, t = np.nonzero(ask)[0], np.nonzero(~ask)[0]
         out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
         for i in q.tolist():
             ok = (c[t] != c[i]) & ((ids[t] > ids[i]) | (c[t] == rows["main"][0]))
             ok &= (np.minimum(n[t], n[i]) * 100 >= np.maximum(n[t], n[i]) * percent)
-            if ok.any():
-                j = t[ok]
-                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                j = j[(100 + percent) * apart <= (100 - percent) * (n[j] + n[i])]
+            j = t[ok]
+            for size, place, m in levels:
+                if len(j) == 0 or words[i] < size:
+                    break
+                fit = words[j] >= size
+                k = j[fit]
+                apart = np.bitwise_count(m[place[k]] ^ m[place[i]]).sum(1, dtype=np.int64)
+                fit[fit] = (100 + percent) * apart > (100 - percent) * (n[k] + n[i])
+                j = j[~fit]
+            if len(j):
                 first_ = ids[j] < ids[i]
                 for name, x, y in (("a", ids[j], ids[i]), ("b", ids[i], ids[j]), ("na", n[j], n[i]), ("nb", n[i], n[j])):
                     out[name] += np.where(first_, x, y).tolist()
         return out if out["a"] else None
 
-    more = stored(grouped(met, ["sig", "i", "j"], compare, "a long, b long, na long, nb long"), "block-pairs").distinct()
+    more = grouped(met, ["sig", "i", "j"], compare, "a long, b long, na long, nb long").select("a", "b").distinct()
+    more = by_sketch(stored(more, "block-pairs"), sketches, percent)
     more = stored(verified(more, docs, k, percent), "block-links")
     reps = components(edges.unionByName(more)).select(F.col("node").alias("rep"), "component")
     named = rep.join(reps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
