@@ -85,6 +85,21 @@ def test_near_documents_group_of_copies(spark):
     assert got == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("n", [0, 1, 300, 3_000, 20_000])
+def test_sketches_fold_and_bound_the_difference(n):
+    """A folded sketch is the one of fewer buckets, and no sketch tells more differences than there are."""
+    r = np.random.default_rng(n)
+    a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+    b = np.unique(np.concatenate([a[n // 20:], r.integers(0, 1 << 63, n // 20, dtype=np.uint64)]))
+    one, two = jaccard.sketch(a), jaccard.sketch(b)
+    for words in {16, 64, min(len(one), len(two))}:
+        x, y = jaccard.folded(one, words), jaccard.folded(two, words)
+        if len(x) == len(y) == words:
+            buckets = np.bincount((a % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+            assert (np.packbits(buckets.astype(np.uint8)).view(np.int64) == x).all()
+            assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(docs, {"s0": 3.0, "s1": 1.0}, epochs=4.0)
     assert got.columns == [*docs.columns, "copy", "mix_key"]
