@@ -31,7 +31,7 @@ FREQUENT, SHARE = 32, 200_000
 #: Words of the smallest sketch, and of the largest form that travels with every signature into the blocks.
 SKETCH_WORDS, FOLDED_WORDS = 16, 64
 BLOCK = 400
-STARS = 2
+STARS, LEADS = 2, 1
 BLOOM_BITS = 1 << 23
 
 
@@ -237,13 +237,34 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
         named = star.join(of_id, "id", "left").join(of_hub, F.col("hub.id") == F.col("_hub"), "left")
         left = stored(named.where("h IS NULL OR c IS NULL OR c <> h").select("sig", "id", "n", "rare"), f"unconnected-{turn}")
 
-    # what the stars did not connect: members of different components that share a signature, in blocks
-    member = shared.join(groups, F.col("id") == F.col("node"), "left").select(
-        "sig", "id", "n", F.coalesce("component", "id").alias("c"), F.col("hub.id").alias("hub"))
-    member = stored(member.where("id <> hub"), "members")
+    # what the stars did not connect: members of different components that share a signature, in blocks. At first each
+    # document is only held against one that its sketch allows; after that all pairs that are still apart.
+    member = stored(shared.where("id <> hub.id").select("sig", "id", "n"), "members")
+    for turn in range(LEADS):
+        lead = stored(block_pairs(member, groups, sketches, percent, True), f"lead-pairs-{turn}")
+        close = by_sketch(lead.select("a", "b").distinct(), sketches, percent)
+        edges = edges.unionByName(stored(verified(close, docs, k, percent), f"lead-links-{turn}"))
+        groups = components(edges)
+    more = block_pairs(member, groups, sketches, percent, False).select("a", "b").distinct()
+    more = by_sketch(stored(more, "block-pairs"), sketches, percent)
+    more = stored(verified(more, docs, k, percent), "block-links")
+    reps = components(edges.unionByName(more)).select(F.col("node").alias("rep"), "component")
+    named = rep.join(reps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
+    whole = first.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return whole.select(F.col("id").cast(dict(df.dtypes)[key]).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def block_pairs(member: DataFrame, groups: DataFrame, sketches: DataFrame, percent: int, lead: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature and whose short sketches leave room for a link.
+
+    ``member`` has a row (sig, id, n) for each signature of a set; a signature's members meet in blocks. With ``lead`` only
+    one pair of each set is returned, preferably with the smallest component.
+    """
+    member = member.join(groups, F.col("id") == F.col("node"), "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c"))
     main = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.mode("c", True).alias("main"))
     main = main.where("lo < hi").drop("lo", "hi")
-    rest = member.join(main, "sig")
+    rest = stored(member.join(main, "sig"), "apart-members")
     other = rest.groupBy("sig").agg(F.sum((F.col("c") != F.col("main")).cast("long")).alias("q"))
     rest = rest.join(other, "sig").withColumns({
         "nt": F.ceil(F.col("m") / BLOCK).cast("int"), "nq": F.ceil(F.col("q") / BLOCK).cast("int")})
@@ -266,7 +287,7 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
             place[at] = np.arange(len(at))
             levels.append((size, place, np.array([folded(bits[x], size) for x in at.tolist()]).view(np.uint64)))
         q, t = np.nonzero(ask)[0], np.nonzero(~ask)[0]
-        out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
+        out: dict[str, list] = {"a": [], "b": [], "low": [], "asked": []}
         for i in q.tolist():
             ok = (c[t] != c[i]) & ((ids[t] > ids[i]) | (c[t] == rows["main"][0]))
             ok &= (np.minimum(n[t], n[i]) * 100 >= np.maximum(n[t], n[i]) * percent)
@@ -279,20 +300,18 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
                 apart = np.bitwise_count(m[place[k]] ^ m[place[i]]).sum(1, dtype=np.int64)
                 fit[fit] = (100 + percent) * apart > (100 - percent) * (n[k] + n[i])
                 j = j[~fit]
-            if len(j):
-                first_ = ids[j] < ids[i]
-                for name, x, y in (("a", ids[j], ids[i]), ("b", ids[i], ids[j]), ("na", n[j], n[i]), ("nb", n[i], n[j])):
-                    out[name] += np.where(first_, x, y).tolist()
+            if len(j) and lead:
+                j = j[np.lexsort((ids[j], c[j]))[:1]]
+            out["a"] += np.minimum(ids[j], ids[i]).tolist()
+            out["b"] += np.maximum(ids[j], ids[i]).tolist()
+            out["low"] += c[j].tolist()
+            out["asked"] += [int(ids[i])] * len(j)
         return out if out["a"] else None
 
-    more = grouped(met, ["sig", "i", "j"], compare, "a long, b long, na long, nb long").select("a", "b").distinct()
-    more = by_sketch(stored(more, "block-pairs"), sketches, percent)
-    more = stored(verified(more, docs, k, percent), "block-links")
-    reps = components(edges.unionByName(more)).select(F.col("node").alias("rep"), "component")
-    named = rep.join(reps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    whole = first.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return whole.select(F.col("id").cast(dict(df.dtypes)[key]).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    pairs = grouped(met, ["sig", "i", "j"], compare, "a long, b long, low long, asked long")
+    if lead:
+        pairs = pairs.groupBy("asked").agg(F.min(F.struct("low", "a", "b")).alias("p")).select("p.a", "p.b")
+    return pairs.select("a", "b")
 
 
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
