@@ -5,6 +5,8 @@ No DOM is built: tags are tokenised with regular expressions, quoted attribute v
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,58 +16,56 @@ from crawlframe.functions.urls import navigable, normalize_urls, resolve_urls, w
 SNIPPET_CHARS = 500
 _MARK = "\u0001"
 
-_SCRIPT = r"<script\b[^>]*>.*?</script\s*>"
-_HIDDEN = rf"(?is)<!--.*?-->|{_SCRIPT}|<style\b[^>]*>.*?</style\s*>"
+_SCRIPT = r"<script\b[^>]*>.*?(?:</script\s*>|\z)"
+_HIDDEN = rf"(?is)<!--.*?(?:-->|\z)|{_SCRIPT}|<style\b[^>]*>.*?(?:</style\s*>|\z)"
 _NOSCRIPT = r"(?is)<noscript\b[^>]*>.*?</noscript\s*>"
-_TAG_TAIL = r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>"""
+# A quote that never closes ends with its tag.
+_TAG_TAIL = r"""(?:[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+>|[^>]*>)"""
 _ANY_TAG = rf"(?s)<[A-Za-z/!?]{_TAG_TAIL}"
 _ATTRIBUTE = r"""(?s)([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"""
 
-# Named character references that are decoded.
-ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0",
-    "iexcl": "¡", "cent": "¢", "pound": "£", "yen": "¥", "sect": "§", "copy": "©", "laquo": "«",
-    "reg": "®", "deg": "°", "plusmn": "±", "para": "¶", "middot": "·", "raquo": "»",
-    "iquest": "¿", "times": "×", "divide": "÷", "szlig": "ß",
-    "Agrave": "À", "Aacute": "Á", "Auml": "Ä", "Ccedil": "Ç", "Egrave": "È", "Eacute": "É",
-    "Ntilde": "Ñ", "Ouml": "Ö", "Uuml": "Ü",
-    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "aring": "å", "ccedil": "ç",
-    "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í", "icirc": "î",
-    "iuml": "ï", "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø",
-    "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”",
-    "bull": "•", "hellip": "…", "euro": "€", "trade": "™", "larr": "←", "rarr": "→",
-}
-
-
-def decode_entities(text: Column) -> Column:
-    """Decode named and numeric character references, the ampersand last."""
-    names = F.str_to_map(
-        F.lit("\u0003".join(f"{k}\u0002{v}" for k, v in ENTITIES.items())), F.lit("\u0003"), F.lit("\u0002")
-    )
+#: Looked up first, because a map literal is searched from its start; all other names follow.
+_COMMON = "amp lt gt quot apos nbsp copy middot ndash mdash lsquo rsquo ldquo rdquo hellip bull raquo laquo reg trade euro".split()
+_NAMES = {n: html5[f"{n};"] for n in [*_COMMON, *sorted(k[:-1] for k in html5 if k.endswith(";") and k[:-1] not in _COMMON)]}
+#: Names that need no semicolon, the longest first.
+_BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+_REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)"
+#: Codes 128 to 159 mean the characters of Windows-1252.
+_C1 = {chr(b): bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0)}
+
 
-    def from_code(digits: Column, base: int) -> Column:
-        code = F.conv(digits, base, 10).cast("long")
+def decode_entities(text: Column, attribute_value: bool = False) -> Column:
+    """Decode named and numeric character references once; unknown ones stay.
+
+    Some names need no semicolon; in an attribute value they then must not be followed by a letter, a digit or ``=``.
+    """
+    names = F.str_to_map(F.lit("\u0003".join(f"{k}\u0002{v}" for k, v in _NAMES.items())), F.lit("\u0003"), F.lit("\u0002"))
+    bare = f"^(?:{_BARE})" + ("(?![=A-Za-z0-9])" if attribute_value else "")
+
+    def of_code(code: Column) -> Column:
+        bad = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(code == 38, F.lit("&amp;")).otherwise(char)
+        return F.when(bad, F.lit("\ufffd")).otherwise(F.translate(char, "".join(_C1), "".join(_C1.values())))
+
+    def from_digits(digits: Column, base: int) -> Column:
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        return let(F.when(F.length(short) <= 7, F.conv(short, base, 10).cast("long")), of_code)
 
-    def replaced(p: Column, name: Column) -> Column:
+    def replaced(p: Column, ref: Column) -> Column:
+        name = F.rtrim(ref, F.lit(";"))
         char = (
-            F.when(name.rlike("^#[xX]"), from_code(F.substr(name, F.lit(3)), 16))
-            .when(F.startswith(name, F.lit("#")), from_code(F.substr(name, F.lit(2)), 10))
+            F.when(name.rlike("^#[xX]"), from_digits(F.substr(name, F.lit(3)), 16))
+            .when(F.startswith(name, F.lit("#")), from_digits(F.substr(name, F.lit(2)), 10))
             .otherwise(F.try_element_at(names, name))
         )
-        kept = F.concat(F.lit("&"), p)
-        tail = F.substr(p, F.length(name) + 2)
-        return F.when(name == "", kept).otherwise(F.coalesce(F.concat(char, tail), kept))
+        short = let(F.regexp_extract(p, bare, 0), lambda n: F.concat(F.try_element_at(names, n), F.substr(p, F.length(n) + 1)))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(ref) + 1)), short, F.concat(F.lit("&"), p))
 
     def piece(p: Column, i: Column) -> Column:
-        name = F.regexp_extract(p, r"^([A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});", 1)
-        return F.when(i == 0, p).otherwise(let(name, lambda n: replaced(p, n)))
+        return F.when(i == 0, p).otherwise(let(F.regexp_extract(p, _REFERENCE, 0), lambda ref: replaced(p, ref)))
 
     def decoded(t: Column) -> Column:
-        pieces = F.transform(F.split(t, r"&(?=[A-Za-z#])(?!amp;)", -1), piece)
-        return F.replace(F.array_join(pieces, ""), F.lit("&amp;"), F.lit("&"))
+        return F.array_join(F.transform(F.split(t, "&(?=[A-Za-z#])", -1), piece), "")
 
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), decoded(t)).otherwise(t))
 
@@ -93,7 +93,7 @@ def attributes(tag: Column) -> Column:
         value = F.when(cut == 0, F.lit("")).otherwise(let(strip(F.substr(token, cut + 1)), unquoted))
         name = F.when(cut == 0, token).otherwise(F.substring_index(token, "=", 1))
         return F.struct(
-            F.lower(strip(name)).alias("name"), decode_entities(value).alias("value")
+            F.lower(strip(name)).alias("name"), decode_entities(value, True).alias("value")
         )
 
     return F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(0)), read)
@@ -177,7 +177,7 @@ def flat_metadata(graph: Column, plain: Column) -> Column:
 def json_ld(html: Column) -> Column:
     """array<variant> of linked-data objects; unreadable blocks and non-objects are skipped."""
     blocks = F.filter(
-        F.regexp_extract_all(html, F.lit(rf"(?is)<!--.*?-->|{_SCRIPT}"), F.lit(0)),
+        F.regexp_extract_all(html, F.lit(rf"(?is)<!--.*?(?:-->|\z)|{_SCRIPT}"), F.lit(0)),
         lambda b: F.regexp_extract(b, r"(?is)^<script\b[^>]*>", 0).rlike(
             r"""(?s)^<[^>]*\s[tT][yY][pP][eE]\s*=\s*["']?application/ld\+json["'\s>]"""
         ),
@@ -241,15 +241,14 @@ def rel_links(markup: Column, base: Column) -> Column:
 
 
 def page_numbers(markup: Column) -> Column:
-    """Sorted distinct numbers that are the whole text of an anchor."""
+    """Distinct numbers that are the whole text of an anchor, in ascending order; as digits, so of any size."""
     anchors = F.regexp_extract_all(
         markup, F.lit(rf"(?is)<a(?=\s[^>]*href){_TAG_TAIL}.*?</a\s*>"), F.lit(0)
     )
     text = F.transform(anchors, lambda a: F.regexp_replace(a, rf"{_ANY_TAG}|[{WS}{_MARK}]+", ""))
-    digits = F.filter(text, lambda t: t.rlike("^[0-9]+$"))
-    return F.array_sort(F.array_distinct(F.filter(
-        F.transform(digits, lambda t: t.try_cast("long")), lambda n: n.isNotNull()
-    )))
+    digits = F.transform(F.filter(text, lambda t: t.rlike("^[0-9]+$")), lambda t: F.regexp_replace(t, "^0+(?=.)", ""))
+    by_size = F.array_sort(F.array_distinct(F.transform(digits, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))))
+    return F.transform(by_size, lambda d: d["t"])
 
 
 def infinite_scroll(markup: Column) -> Column:

@@ -79,7 +79,7 @@ def extract_json(docs: DataFrame, body: str = "html") -> DataFrame:
         source.alias("metadata"),
         F.lit(None).cast("string").alias("next_url"),
         F.lit(None).cast("string").alias("prev_url"),
-        F.array().cast("array<bigint>").alias("page_numbers"),
+        F.array().cast("array<string>").alias("page_numbers"),
         F.lit(False).alias("is_infinite_scroll"),
         F.lit("application/json").alias("content_type"),
     )

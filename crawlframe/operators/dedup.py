@@ -145,6 +145,12 @@ def ttl_claims(events: DataFrame, key: str, ts: str, ttl_seconds: int = DAY,
     return claims.select(F.col("k").alias(key), F.timestamp_micros("t").alias(ts), "forced")
 
 
+def claim_winners(events: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int = DAY) -> DataFrame:
+    """Ids of the events that take the claim of their key; of several at one instant the smallest id does."""
+    first = events.groupBy(key, ts).agg(F.min(event_id).alias(event_id))
+    return first.join(ttl_claims(events, key, ts, ttl_seconds).select(key, ts), [key, ts]).select(event_id)
+
+
 def content_changes(fetched: DataFrame, stored: DataFrame, html: str = "html") -> DataFrame:
     """Compare each fetched page with the stored hash of its canonical URL: new, changed, unchanged."""
     known = stored.select("normalized_url", F.col("content_hash").alias("stored_hash"))

@@ -91,8 +91,7 @@ def extract_links(spark, d):
 
 
 def extract_page_numbers(spark, d):
-    numbers = F.array_join(F.transform("page_numbers", lambda n: n.cast("string")), ",")
-    return corpus.extract_pages(B.pages(spark, d)).select("page_id", numbers.alias("page_numbers"))
+    return corpus.extract_pages(B.pages(spark, d)).select("page_id", F.array_join("page_numbers", ",").alias("page_numbers"))
 
 
 def extract_infinite_scroll(spark, d):

@@ -110,12 +110,12 @@ def proxy_assignment(spark, d):
 
 
 def fetch_outcome(spark, d):
-    """Every event as a fetch of the page numbered like its user."""
+    """Every event as a fetch of the page numbered like its user; where there is none, the fetch fails."""
     e = B.events(spark, d).withColumn("ref", F.concat_ws(":", F.col("user_id").cast("string"), F.col("k").cast("string")))
     first = dedup.earliest(e, ["ref"], ["ts", "event_id"]).select("event_id", F.lit(False).alias("is_duplicate"))
     log = e.join(first, "event_id", "left").withColumn("is_duplicate", F.col("is_duplicate").isNull())
-    claims = dedup.ttl_claims(log.filter(~F.col("is_duplicate")), "user_id", "ts", dedup.DAY).select("user_id", "ts", F.lit(False).alias("is_claimed"))
-    log = log.join(claims, ["user_id", "ts"], "left").withColumn("is_claimed", F.col("is_claimed").isNull())
+    claims = dedup.claim_winners(log.filter(~F.col("is_duplicate")), "user_id", "ts", "event_id").withColumn("is_claimed", F.lit(False))
+    log = log.join(claims, "event_id", "left").withColumn("is_claimed", F.col("is_claimed").isNull())
 
     pages = artifacts(B.canonical_pages(spark, d, "html"), F.lit("job-1"))
     pages = crawl.robots_filter(pages, B.robots(spark, d), AGENT)
@@ -123,8 +123,9 @@ def fetch_outcome(spark, d):
         F.col("page_id").alias("user_id"), "normalized_url", "checksum", "storage_key", "allowed",
         F.when(F.col("page_id") % 2 == 0, F.col("checksum")).alias("stored_hash"),
     )
-    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404).otherwise(200)
-    out = crawl.fetch_outcomes(log.join(pages, "user_id").withColumn("http_status", status))
+    status = F.when(F.col("normalized_url").isNull(), 404).when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404).otherwise(200)
+    fetched = log.join(pages, "user_id", "left").withColumns({"http_status": status, "allowed": F.coalesce("allowed", F.lit(True))})
+    out = crawl.fetch_outcomes(fetched)
     return flat(out.select("event_id", "normalized_url", "outcome", "error", F.col("checkpoint")["reason"].alias("reason"), F.col("checkpoint")["storage_key"].alias("storage_key")))
 
 
@@ -270,12 +271,13 @@ def _quantile_sql() -> str:
 
 _SQL_OUTCOME = f"""WITH RECURSIVE {_ROBOTS}, {S.EVENTS},
       ke AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) > 1 AS dup FROM ev),
-      nd AS (SELECT user_id, ts FROM ke WHERE NOT dup),
+      nd AS (SELECT user_id, ts, min(event_id) AS id FROM ke WHERE NOT dup GROUP BY 1, 2),
       c AS (SELECT user_id, min(ts) AS ts FROM nd GROUP BY 1 UNION ALL
         SELECT e.user_id, min(e.ts) FROM c JOIN nd e ON e.user_id = c.user_id AND e.ts >= c.ts + INTERVAL 24 HOUR GROUP BY e.user_id, c.ts),
-      lg AS (SELECT ke.*, c.ts IS NULL AS claimed, allowed, nu, page_id, sha256(html) AS h,
-        CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS http
-        FROM ke JOIN cpages ON page_id = ke.user_id JOIN verdict USING (page_id) LEFT JOIN c ON c.user_id = ke.user_id AND c.ts = ke.ts),
+      won AS (SELECT nd.id FROM nd JOIN c ON c.user_id = nd.user_id AND c.ts = nd.ts),
+      lg AS (SELECT ke.*, won.id IS NULL AS claimed, coalesce(allowed, true) AS allowed, nu, cpages.page_id,
+        CASE WHEN nu IS NULL THEN 404 WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 404 ELSE 200 END AS http
+        FROM ke LEFT JOIN cpages ON cpages.page_id = ke.user_id LEFT JOIN verdict ON verdict.page_id = cpages.page_id LEFT JOIN won ON won.id = event_id),
       o AS (SELECT *, CASE WHEN dup THEN 1 WHEN claimed THEN 2 WHEN NOT allowed THEN 3 WHEN http >= 400 THEN 4 WHEN page_id % 2 = 0 THEN 5 ELSE 6 END AS rule FROM lg)
       SELECT event_id, nu AS normalized_url, ['duplicate', 'skipped', 'skipped', 'failed', 'skipped', 'fetched'][rule] AS outcome,
       CASE rule WHEN 3 THEN 'robots_disallowed' WHEN 4 THEN 'HTTP ' || http END AS error, CASE WHEN rule = 5 THEN 'unchanged' END AS reason,

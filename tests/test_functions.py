@@ -83,11 +83,26 @@ def test_page_fields(spark):
         "tags": {"Description": "d1 <x>", "k": "v2", "og:title": "plain"},
         "flat": {"Description": "d1 <x>", "k": "v2", "og:title": "plain"}, "ld": 3, "types": ["Article", "A", "B"],
         "links": ["https://e.com/ns", "https://e.com/a", "https://e.com/b", "https://o.com/z?a=2&b=1"],
-        "rel": ["https://e.com/p?page=3", "https://e.com/dir/page?page=1"], "numbers": [2, 3, 10], "scroll": True,
+        "rel": ["https://e.com/p?page=3", "https://e.com/dir/page?page=1"], "numbers": ["2", "3", "10"], "scroll": True,
         "snippet": "A & B é中 one text bold text 2 m 10 3 7 5 < 6 &unknown; &lt; &amp;",
     }
 
 
+def test_references_and_open_markup(spark):
+    text = "&copy 2024 &Scaron;&alpha;&rsaquo; &#150;&#x41 &#0; &#xD800; &#99999999999; &notit; &nope; &amp;lt; &amp &"
+    pages = [(f"<p title='{t}'>{t}</p>",) for t in (text, "a &copy=1 b")]
+    pages += [("x <script>var a=1; lost?",), ("y <style>p {",), ("z <!-- open",), ("<a title=\"a'b>7",),
+              ("".join(f"<a href=x>{n}</a>" for n in ("99999999999999999999", "7", "007", "0", "12")),)]
+    m = H.visible_markup(F.col("html"))
+    df = spark.createDataFrame(pages, "html string")
+    got = [r[0] for r in df.select(H.text_content(m)).collect()]
+    want = "© 2024 Šα› –A \ufffd \ufffd \ufffd ¬it; &nope; &lt; & &"
+    assert got[:6] == [want, "a ©=1 b", "x", "y", "z", "7"]
+    title = H.attribute(H.attributes(F.get(H.tags(m, "p"), F.lit(0))), "title")
+    assert [r[0] for r in df.select(title).collect()][:2] == [want.replace("¬it;", "&notit;"), "a &copy=1 b"]
+    assert df.select(H.page_numbers(m)).collect()[6][0] == ["0", "7", "12", "99999999999999999999"]
+
+
 def test_empty_fields(spark):
     pages = [("<html><title></title><meta name='description' content=''><meta property='og:description' content=' o '></html>",), ("plain",), ("",)]
     m = F.col("m")

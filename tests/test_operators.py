@@ -46,6 +46,11 @@ def test_claims(spark, hot_rows, with_force):
     assert rows(got) == claim_model(log, 3600)
 
 
+def test_claims_at_one_instant(spark):
+    df = spark.createDataFrame([(3, "a", at(0)), (2, "a", at(0)), (4, "a", at(90_000)), (5, "b", at(0))], "event_id long, k string, ts timestamp")
+    assert rows(dedup.claim_winners(df, "k", "ts", "event_id")) == [(2,), (4,), (5,)]
+
+
 def test_politeness_like_a_bucket(spark):
     rnd = random.Random(3)
     log = [(f"d{rnd.randrange(3)}", round(rnd.random() * 60, 3), i) for i in range(150)] + [("idle", t, 900 + i) for i, t in enumerate([0, 0, 0, 0, 0, 0, 0, 500, 500])]
