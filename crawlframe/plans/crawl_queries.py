@@ -180,7 +180,7 @@ def rate_5m(spark, d):
 
 
 def p95_from_buckets(spark, d):
-    out = metrics.window_quantile(B.events(spark, d), "ts", "value", ["event_type"], metrics.CRAWL_BUCKETS, minutes=60)
+    out = metrics.window_quantile(B.events(spark, d), "ts", "value", ["event_type"], metrics.CRAWL_BUCKETS, minutes=5)
     return flat(out.select("event_type", "window_end", "observations", F.round("quantile", 6).alias("p95")))
 
 
@@ -265,7 +265,7 @@ def _quantile_sql() -> str:
     cases = " ".join(
         f"WHEN b{i} >= 0.95 * n THEN {_BOUNDS[i - 1] if i else 0.0} + ({b} - {_BOUNDS[i - 1] if i else 0.0}) * (0.95 * n - {f'b{i - 1}' if i else 0}) / (b{i} - {f'b{i - 1}' if i else 0})"
         for i, b in enumerate(_BOUNDS))
-    return f"""{_MIN.format(k=60)}, hist AS (SELECT event_type, window_end, count(*) AS n, {cum} FROM sl GROUP BY 1, 2)
+    return f"""{_MIN.format(k=5)}, hist AS (SELECT event_type, window_end, count(*) AS n, {cum} FROM sl GROUP BY 1, 2)
       SELECT event_type, {S.stamp('window_end')} AS window_end, n AS observations, round((CASE {cases} ELSE 60.0 END)::DOUBLE, 6) AS p95 FROM hist"""
 
 
