@@ -163,6 +163,32 @@ def test_passages(spark, docs):
     assert after[11] == "" and raw_words(after[10]) == other_words  # both parts of 11 are in earlier documents
 
 
+def covered(found: list, rows: list[tuple]) -> bool:
+    """Whether every run of 50 words that an earlier text holds lies inside one of the passages."""
+    first, spans = {}, {}
+    for r in found:
+        spans.setdefault(r["doc_id"], []).append((r["word_from"], r["word_to"]))
+    for i, t in sorted(rows):
+        words = raw_words(t)
+        for at in range(len(words) - 49):
+            run = tuple(words[at:at + 50])
+            if first.setdefault(run, i) != i and not any(lo <= at and at + 50 <= hi for lo, hi in spans.get(i, ())):
+                return False
+    return True
+
+
+def test_passages_behind_stock_phrases(spark):
+    """A passage whose seeds lie in still earlier documents that share less than 50 words."""
+    rows = []
+    for g in range(10):
+        p, at = prose(500 + g, 60), 10 * g
+        parts = [p[:35], p[26:], p, p]
+        rows += [(at + i, " ".join([*prose(600 + at + i, 40), *x, *prose(800 + at + i, 40)])) for i, x in enumerate(parts)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in found} >= {(10 * g + 3, 10 * g + 2) for g in range(10)}
+    assert covered(found, rows)
+
+
 def test_chaining_scores_the_best_order():
     r = np.random.default_rng(0)
     for _ in range(30):
