@@ -189,6 +189,16 @@ def test_passages_behind_stock_phrases(spark):
     assert covered(found, rows)
 
 
+@pytest.mark.parametrize("once,often", [(1, 70), (5, 13), (3, 40)])
+def test_passages_repeated_in_one_document(once, often):
+    """Every copy in the later document is found, however many there are."""
+    p = prose(50, 60)
+    text = lambda n, seed: [w for i in range(n) for w in [*prose(seed + i, 30), *p]]
+    a, b = text(once, 1_000), text(often, 2_000)
+    found = passages.aligned(*(passages.word_hashes(" ".join(x)) for x in (a, b)))
+    assert all(any(b0 <= at and at + 60 <= b1 for _, _, b0, b1, _ in found) for at in range(30, len(b), 90))
+
+
 def test_chaining_scores_the_best_order():
     r = np.random.default_rng(0)
     for _ in range(30):
