@@ -199,6 +199,38 @@ def test_passages_repeated_in_one_document(once, often):
     assert all(any(b0 <= at and at + 60 <= b1 for _, _, b0, b1, _ in found) for at in range(30, len(b), 90))
 
 
+def edited(words: list[str], share: float, seed: int) -> list[str]:
+    """The words with that share of them replaced, at random places."""
+    r = random.Random(seed)
+    at = set(r.sample(range(len(words)), int(share * len(words) + 1e-9)))
+    return [f"x{seed}-{i}" if i in at else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("n,share,least", [(60, 0.05, 0.95), (60, 0.1, 0.9), (60, 0.15, 0.8), (100, 0.1, 0.95), (100, 0.2, 0.9)])
+def test_recall_of_edited_passages(n, share, least):
+    """Pairs that brute force (one subsequence over the whole passage) finds at 0.8."""
+    hit = total = 0
+    for i in range(60):
+        p = prose(7_000 + i, n)
+        q = edited(p, share, i)
+        hp, hq = (passages.word_hashes(" ".join(x)) for x in (p, q))
+        assert passages.common_words(hp, hq) >= 0.8 * n
+        a, b = ([*prose(k + i, 50), *x, *prose(k + 500 + i, 50)] for k, x in ((10_000, p), (20_000, q)))
+        found = passages.aligned(*(passages.word_hashes(" ".join(x)) for x in (a, b)))
+        total += 1
+        hit += any(min(b1, 50 + n) - max(b0, 50) >= 0.8 * n for _, _, b0, b1, _ in found)
+    assert hit >= least * total
+
+
+def test_edited_passages_in_the_query(spark):
+    rows = []
+    for i in range(40):
+        p = prose(30_000 + i, 80)
+        rows += [(2 * i + k, " ".join([*prose(40_000 + 2 * i + k, 40), *x, *prose(50_000 + 2 * i + k, 40)])) for k, x in enumerate((p, edited(p, 0.1, i)))]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["doc_id"] for r in found if r["source_id"] == r["doc_id"] - 1 and r["n_same"] >= 0.8 * (r["word_to"] - r["word_from"])}) >= 38
+
+
 def test_chaining_scores_the_best_order():
     r = np.random.default_rng(0)
     for _ in range(30):
