@@ -35,7 +35,9 @@ CLUTTER = re.compile(
     r"popups?|modals?|overlays?|newsletter|subscri(?:be|ption)|signup|login|paywall|share|sharing|social|related|"
     r"recommended|recommendations|pagination|pager|tags|toc|search|hidden|copyright|legal|disclaimer|contentinfo|"
     r"complementary)(?=$|[\s_-]|\d)", re.I)
-#: Names that overrule the above on the elements that hold the article.
+#: Of those, the ones for what readers wrote, which may well be longer than the article.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|respon[ds]|replies|discussion|reviews?)(?=$|[\s_-]|\d)", re.I)
+#: Names that overrule the above on the elements that hold the article, unless one name says both ("comment-body").
 CONTENT = re.compile(r"(?:^|[\s_-])(?:articles?|article[_-]?body|post|post[_-]?(?:body|content)|entry|entry[_-]?content|content|main|story|body|text)(?=$|[\s_-]|\d)", re.I)
 
 TOKEN = re.compile(
@@ -47,19 +49,20 @@ BLANKS = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "skip", "marked", "points", "chars", "linked", "order")
+    __slots__ = ("name", "parent", "children", "skip", "soft", "marked", "points", "chars", "linked", "order")
 
     def __init__(self, name: str, parent: Node | None, skip: bool, marked: bool, order: int):
         self.name, self.parent, self.skip, self.marked, self.order = name, parent, skip, marked, order
+        self.soft = 0  # skipped by its name only: 1, or 2 where readers write
         self.children: list[Node | str] = []
         self.points = 0.0
         self.chars = self.linked = 0
 
 
-def judge_attributes(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is clutter, and whether its names speak for content."""
+def judge_attributes(name: str, attrs: str) -> tuple[bool, int, bool]:
+    """Whether the element is hidden, whether its names speak for clutter (2: for readers' texts), and whether for content."""
     if not attrs or attrs.isspace():
-        return False, False
+        return False, 0, False
     names, gone = "", False
     for key, value in ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
@@ -70,7 +73,10 @@ def judge_attributes(name: str, attrs: str) -> tuple[bool, bool]:
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             gone = True
     wanted = bool(CONTENT.search(names))
-    return gone or bool(CLUTTER.search(names)) and name not in ("body", "html", "article", "main"), wanted
+    clutter = bool(CLUTTER.search(names)) and name not in ("body", "html", "article", "main")
+    if clutter and wanted:
+        clutter = not any(CONTENT.search(x) and not CLUTTER.search(x) for x in names.split())
+    return gone, (2 if READERS.search(names) else 1) if clutter else 0, wanted
 
 
 def parse(page: str) -> Node:
@@ -121,22 +127,59 @@ def parse(page: str) -> Node:
                 if node.name in CLOSED_BY[name]:
                     here = node.parent
                 node = node.parent
-        gone, marked = judge_attributes(name, m["attrs"])
+        gone, clutter, marked = judge_attributes(name, m["attrs"])
         order += 1
         if name in VOID or m["self"] and name not in BLOCK and name not in RAW:
             here.children.append(Node(name, here, name in SKIPPED, False, order))
             continue
-        skip = name in SKIPPED or gone or name in RAW or name == "header" and not inside(here, ("article", "main"))
-        child = Node(name, here, skip, marked, order)
+        hard = name in SKIPPED and name != "form" or gone or name in RAW
+        soft = clutter or int(name == "form" or name == "header" and not inside(here, ("article", "main")))
+        child = Node(name, here, hard or soft > 0, marked, order)
+        child.soft = 0 if hard else soft
         here.children.append(child)
         if name in RAW:
             end = re.compile(f"</{name}\\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         here = child
+    reprieve(root)
     return root
 
 
+def reprieve(root: Node) -> None:
+    """Elements that are skipped for their names, and forms, stay if they hold the article: an article or main element when
+    there is none elsewhere, or most of the page's paragraph text."""
+    nodes: list[tuple[Node, int, bool, bool]] = []  # with the place of the parent, whether in a paragraph, whether skipped
+    stack: list[tuple[Node, int, bool, bool]] = [(root, -1, False, False)]
+    soft = elsewhere = False
+    while stack:
+        node, up, para, skipped = stack.pop()
+        if node.skip and not node.soft:
+            continue
+        para, skipped, soft = para or node.name in ("p", "pre", "blockquote"), skipped or node.skip, soft or node.soft > 0
+        elsewhere = elsewhere or not skipped and node.name in ("article", "main")
+        at = len(nodes)
+        nodes.append((node, up, para, skipped))
+        stack += [(x, at, para, skipped) for x in node.children if not isinstance(x, str)]
+    if not soft:
+        return
+    for wide in (False, True):  # all text if there are no paragraphs
+        chars, holds = [0] * len(nodes), [False] * len(nodes)
+        for at in range(len(nodes) - 1, -1, -1):
+            node, up, para, _ = nodes[at]
+            if para or wide:
+                chars[at] += sum(len(x.strip()) for x in node.children if isinstance(x, str))
+            holds[at] = holds[at] or node.name in ("article", "main")
+            if up >= 0:
+                chars[up] += chars[at]
+                holds[up] = holds[up] or holds[at]
+        if chars[0]:
+            break
+    for (node, *_), n, held in zip(nodes, chars, holds, strict=True):
+        if node.soft and (held and not elsewhere and node.soft == 1 or n > (9 if node.soft == 2 or elsewhere else 1) * (chars[0] - n)):
+            node.skip = False
+
+
 def inside(node: Node | None, names: tuple[str, ...]) -> bool:
     while node is not None:
         if node.name in names:

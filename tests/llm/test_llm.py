@@ -130,6 +130,18 @@ def test_html():
     assert html_text.extract("<div>" * 3_000 + "<p>deep, text</p>") == "deep, text"
 
 
+def test_html_names_do_not_hide_the_article():
+    story = "<p>Some text, with commas, and more text that is long enough.</p><p>More, and more, and more text of the story.</p>"
+    want = "Some text, with commas, and more text that is long enough.\nMore, and more, and more text of the story."
+    for start, end in (("<div id='main' class='content has-sidebar'>", "</div>"), ("<div class='post-body no-comments'>", "</div>"),
+                       ("<div class='entry-content hidden-print'>", "</div>"), ("<form action=x><div>", "</div></form>"),
+                       ("<div class='sidebar-layout'><article>", "</article></div>"), ("<div class='side'>", "</div>")):
+        assert html_text.extract(f"<body><nav>Menu</nav>{start}{story}{end}<div class=ad><p>Buy, now</p></div></body>") == want
+    thread = "".join(f"<article class=comment-body><p>Great, great, long comment {i}, indeed.</p></article>" for i in range(9))
+    assert html_text.extract(f"<body><div class=story>{story}</div><div id=comments class=comments>{thread}</div></body>") == want
+    assert html_text.extract(f"<body><div hidden>{story}</div><p>Seen, text.</p></body>") == "Seen, text."
+
+
 def test_html_query(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a, b</p>", 0), (1, "u", "<p>a, b</p>", 0), (None, None, None, 1)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.extract_text(rows).collect()), key=str) == [(1, "u", "a, b", 4), (1, "u", "a, b", 4), (None, None, "", 0)]
