@@ -22,6 +22,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """On the driver only."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_rows(df: DataFrame, work: Callable[[dict], Iterator[dict] | dict], schema: str, rows_at_once: int = 2_000) -> DataFrame:
     """Run ``work`` on pieces of Arrow batches given as {column: list}; it returns the same for the result, or an iterator of them."""
     from pyspark.sql.pandas.types import to_arrow_schema
