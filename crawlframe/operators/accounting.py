@@ -36,6 +36,12 @@ def job_progress(jobs: DataFrame, job_urls: DataFrame) -> DataFrame:
     })
 
 
+def status_counters(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Change of every job's count per status between two states of its URLs: -1 at the old status, +1 at the new one, summed."""
+    moved = before.select("job_id", "status", F.lit(-1).alias("_by")).unionByName(after.select("job_id", "status", F.lit(1).alias("_by")))
+    return moved.groupBy("job_id").agg(*[F.sum(F.when(F.col("status") == s, F.col("_by")).otherwise(0)).alias(s) for s in JOB_URL_STATUSES])
+
+
 def refresh_jobs(jobs: DataFrame, job_urls: DataFrame) -> DataFrame:
     """Running jobs whose URLs are all finished become completed."""
     totals = _job_totals(job_urls).select(F.col("job_id").alias("id"), "total", "terminal")

@@ -257,21 +257,52 @@ def current_status(transitions: DataFrame, order: list[str], ts: str | None = No
     )
 
 
+def lifecycle_rank(status: Column) -> Column:
+    """Place of a status in the life of a URL; final ones share the last place."""
+    return F.when(status == "queued", 0).when(status == "claimed", 1).when(status == "fetched", 2).otherwise(3)
+
+
 def apply_transitions(job_urls: DataFrame, transitions: DataFrame, order: list[str], ts: str) -> DataFrame:
-    """Merge transitions into the per-job URL table; an unknown row is created at depth 0."""
-    latest = current_status(transitions, order, ts)
+    """Merge transitions into the per-job URL table.
+
+    At one time the later place in the life cycle wins, so that a late "fetched" does not undo "parsed"; a transition older
+    than the row changes nothing but empty errors and checkpoints. An unknown row is created at the smallest depth that its
+    transitions tell, else 0.
+    """
+    ranked = transitions.withColumn("_rank", lifecycle_rank(F.col("status")))
+    latest = current_status(ranked, [ts, "_rank", *order], ts)
+    if "depth" in transitions.columns:
+        depth = transitions.groupBy("job_id", "normalized_url").agg(F.min("depth").alias("depth"))
+        latest = latest.join(depth, ["job_id", "normalized_url"])
+    else:
+        latest = latest.withColumn("depth", F.lit(0))
     joined = job_urls.alias("o").join(
         latest.alias("n"),
         (F.col("o.job_id") == F.col("n.job_id")) & (F.col("o.normalized_url") == F.col("n.normalized_url")),
         "full_outer",
     )
+    place = lambda side: F.struct(F.col(f"{side}.updated_at"), lifecycle_rank(F.col(f"{side}.status")))
+    newer = F.col("n.job_id").isNotNull() & (F.col("o.job_id").isNull() | F.col("o.updated_at").isNull() | (place("n") >= place("o")))
 
     def column(name: str) -> Column:
-        old, new = F.col(f"o.{name}"), F.col(f"n.{name}")
+        old = F.col(f"o.{name}")
         if name in ("job_id", "normalized_url"):
-            return F.coalesce(old, new).alias(name)
-        if name in ("status", "error", "checkpoint", "updated_at"):
-            return F.coalesce(new, old).alias(name)
-        return F.coalesce(old, F.lit(0)).alias(name) if name == "depth" else old.alias(name)
+            return F.coalesce(old, F.col(f"n.{name}")).alias(name)
+        if name in ("status", "updated_at"):
+            return F.when(newer, F.coalesce(F.col(f"n.{name}"), old)).otherwise(old).alias(name)
+        if name in ("error", "checkpoint"):
+            return F.when(newer, F.coalesce(F.col(f"n.{name}"), old)).otherwise(F.coalesce(old, F.col(f"n.{name}"))).alias(name)
+        if name == "depth":
+            return F.coalesce(old, F.col("n.depth"), F.lit(0)).alias(name)
+        return old.alias(name)
 
     return joined.select(*[column(c) for c in job_urls.columns])
+
+
+def queue_and_apply(job_urls: DataFrame, changes: DataFrame, ts: str) -> DataFrame:
+    """Apply transitions; a "queued" one only adds the row of a URL that the job does not know."""
+    moved = apply_transitions(job_urls, changes.where("status <> 'queued'"), [], ts)
+    queued = changes.where("status = 'queued'").groupBy("job_id", "normalized_url").agg(
+        F.min("depth").alias("depth"), F.first("status").alias("status"), F.min(ts).alias("updated_at"))
+    new = queued.join(moved.select("job_id", "normalized_url"), ["job_id", "normalized_url"], "left_anti")
+    return moved.unionByName(new, allowMissingColumns=True)

@@ -151,6 +151,30 @@ def claim_winners(events: DataFrame, key: str, ts: str, event_id: str, ttl_secon
     return first.join(ttl_claims(events, key, ts, ttl_seconds).select(key, ts), [key, ts]).select(event_id)
 
 
+def claim_batch(events: DataFrame, held: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int = DAY,
+                force: str | None = None) -> DataFrame:
+    """Claims of a micro-batch against the claims held so far (key, claimed_at; null if released).
+
+    One row per key of the batch: ``passed``, the ids of the events that pass, and ``claimed_at``, the claim held from now on.
+    A forced event passes and releases the claim; at one instant forced events come first. Of several plain events at one instant the
+    smallest id passes. A key's distinct instants of one batch are folded in one row, so the source must bound the batch.
+    """
+    ttl = ttl_seconds * 1_000_000
+    forced = F.lit(False) if force is None else F.coalesce(F.col(force), F.lit(False))
+    rows = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts)).alias("t"), F.col(event_id).alias("e"), forced.alias("f"))
+    instants = rows.groupBy("k", "t", "f").agg(F.min("e").alias("e"), F.collect_list(F.when(F.col("f"), F.col("e"))).alias("all"))
+    listed = instants.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", (~F.col("f")).alias("plain"), "e", "all"))).alias("rows"))
+    listed = listed.join(held.select(F.col(key).alias("k"), F.unix_micros("claimed_at").alias("prior")), "k", "left")
+    state = lambda claim, passed: F.struct(claim.cast("bigint").alias("claim"), passed.alias("passed"))
+    folded = F.aggregate(
+        "rows", state(F.col("prior"), F.array().cast("array<string>")),
+        lambda acc, r: F.when(~r["plain"], state(F.lit(None), F.concat(acc["passed"], r["all"])))
+        .when(acc["claim"].isNull() | (r["t"] >= acc["claim"] + ttl), state(r["t"], F.concat(acc["passed"], F.array(r["e"]))))
+        .otherwise(acc))
+    out = listed.select("k", folded.alias("r"))
+    return out.select(F.col("k").alias(key), F.col("r.passed").alias("passed"), F.timestamp_micros("r.claim").alias("claimed_at"))
+
+
 def content_changes(fetched: DataFrame, stored: DataFrame, html: str = "html") -> DataFrame:
     """Compare each fetched page with the stored hash of its canonical URL: new, changed, unchanged."""
     known = stored.select("normalized_url", F.col("content_hash").alias("stored_hash"))

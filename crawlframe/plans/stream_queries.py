@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crawlframe.functions.urls import normalize_url
+from crawlframe.functions.urls import domain_of, normalize_url
 from crawlframe.operators import dedup
 from crawlframe.operators.corpus import clean_pages, extract_pages
+from crawlframe.operators.merge import upsert_pages, url_id
 from crawlframe.plans import bindings as B
 from crawlframe.plans import crawl_queries, state_queries
 from crawlframe.plans import sql_text as S
 from crawlframe.plans.bindings import flat
+from crawlframe.schemas import PAGES
 from crawlframe.session import run_folder
-from crawlframe.sources.events import RECORD, decode, encode
+from crawlframe.sources.events import RECORD, decode
+from crawlframe.sources.snapshots import Snapshot
+from crawlframe.sources.tables import read_table
 from crawlframe.streaming import keyed, stages
-from crawlframe.streaming.runtime import collect_stream, table_stream
+from crawlframe.streaming.runtime import collect_stream, run_available, table_stream
 
 
 def _events(spark, d):
@@ -86,40 +90,95 @@ def stream_decode(spark, d):
 
 
 def stream_upsert_pages(spark, d):
+    """Cleaned pages merged into a table in buckets, batch by batch: content of the last writer, id and time of the first."""
     p = table_stream(spark, d, "pages").withColumn("normalized_url", normalize_url("url"))
-    rows = clean_pages(extract_pages(p)).select("page_id", "normalized_url", "title", "language", "text_snippet", F.size("extracted_links").alias("link_count"))
-    log = collect_stream(rows, run_folder(spark, "pages"))
-    first = dedup.earliest(log.read(spark), ["normalized_url"], ["page_id"])
-    return flat(first.drop("page_id", "batch"))
+    rows = clean_pages(extract_pages(p)).withColumns({
+        "url_id": url_id(F.col("normalized_url")), "id": F.col("page_id").cast("string"), "created_at": F.timestamp_seconds("page_id")})
+    folder = run_folder(spark, "pages")
+    table = Snapshot(f"{folder}/table", ["url_id"], PAGES, 16)
+
+    def each(batch, batch_id):
+        batch = batch.persist()
+        table.merge(batch, lambda old, new: upsert_pages(old, new, ["page_id"]), "pages", batch_id)
+        batch.unpersist()
+
+    run_available(rows, f"{folder}/checkpoint", each)
+    return flat(table.read(spark).select(
+        "url_id", "id", "title", "language", "text_snippet", F.size("extracted_links").alias("link_count"), F.size("metadata").alias("metadata"), "created_at"))
+
+
+def _crawl(spark, d, seeds, jobs, corpus=None, **how):
+    work = stages.Work(spark, run_folder(spark, "stages"))
+    if corpus is None:
+        corpus = B.canonical_pages(spark, d, "html").select("normalized_url", "html", F.lit(200).alias("http_status"))
+    stages.seed(work, jobs, seeds.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
+    stages.drain(work, corpus, **how)
+    return work
+
+
+def _jobs(seeds, depth):
+    none = lambda kind: F.lit(None).cast(kind)
+    return seeds.groupBy(F.col("job_id").alias("id")).agg(F.collect_list("url").alias("seed_urls")).select(
+        "id", "seed_urls", F.lit(depth).alias("max_depth"), none("array<string>").alias("allowed_domains"), F.lit("running").alias("status"),
+        F.lit(0).alias("urls_queued"), none("timestamp").alias("created_at"), none("timestamp").alias("updated_at"))
 
 
 def stream_stages(spark, d):
-    """Discovered URLs of all pages through crawl, parse and clean."""
-    work = run_folder(spark, "stages")
-    corpus = B.canonical_pages(spark, d, "html").select("normalized_url", "html", F.lit(200).alias("http_status"), "page_id")
-    seeds = B.pages(spark, d).withColumn("normalized_url", normalize_url("url")).select(
-        F.col("page_id").cast("string").alias("event_id"), F.lit("t").alias("trace_id"), F.lit("job").alias("job_id"), "url", "normalized_url",
-        F.lit(1).alias("schema_version"), F.lit(1).alias("attempt"), F.lit("2024-01-01").cast("timestamp").alias("timestamp"),
-        F.lit(0).alias("depth"), F.lit(1).alias("max_depth"))
-    records = encode(seeds, "url.discovered")
-    stages.publish(records, work, "url.discovered", "seed", 0)
-    stages.publish(records, work, "url.discovered", "seed-again", 0)
-    stages.crawl_stage(spark, work, corpus.drop("page_id"))
-    stages.parse_stage(spark, work, corpus.withColumn("checksum", F.sha2("html", 256)))
-    pages = stages.clean_stage(spark, work)
-    out = pages.latest(spark, ["url_id"])
+    """Every page as a seed of one job, through crawl, parse and clean."""
+    seeds = B.pages(spark, d).select(
+        F.lit("job").alias("job_id"), "url", normalize_url("url").alias("normalized_url"), F.lit(0).alias("max_depth"),
+        F.array().cast("array<string>").alias("allowed_domains"))
+    work = _crawl(spark, d, seeds, _jobs(seeds.limit(1), 0), retries=False)
+    pages, urls = work.tables["pages"].read(spark), work.tables["urls"].read(spark)
+    out = pages.join(urls.select(F.col("id").alias("url_id"), "normalized_url", F.col("content_hash").alias("checksum")), "url_id")
     return flat(out.select("normalized_url", "title", "language", "text_snippet", "checksum", F.size("extracted_links").alias("link_count")))
 
 
+def stream_crawl(spark, d):
+    """Parts and suppliers as pages that link to one another; one job starts at the parts numbered like nations, two levels deep."""
+    links = B.link_table(spark, d).groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+    anchor = lambda e: F.concat(F.lit('<a href="/'), e["dst"], F.lit('">x</a>'))
+    corpus = links.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("pos", "dst"))).alias("e")).select(
+        F.concat(F.lit("http://shop.example.com/"), "src").alias("normalized_url"), F.lit(200).alias("http_status"),
+        F.concat(F.lit("<title>"), F.col("src"), F.lit("</title>"), F.array_join(F.transform("e", anchor), " ")).alias("html"))
+    n = read_table(spark, d, "nation")
+    url = F.concat(F.lit("http://shop.example.com/p"), F.col("n_nationkey").cast("string"))
+    seeds = n.select(F.lit("job").alias("job_id"), url.alias("url"), url.alias("normalized_url"), F.lit(2).alias("max_depth"),
+                     F.array(F.lit("shop.example.com")).alias("allowed_domains"))
+    work = _crawl(spark, d, seeds, _jobs(seeds, 2), corpus, retries=False)
+    return flat(work.tables["job_urls"].read(spark).select("job_id", "normalized_url", "depth", "status", "error"))
+
+
+def stream_job_status(spark, d):
+    """Every site is a job that starts at its page of the smallest id, one level deep: counts kept by moves between states."""
+    named = B.canonical_pages(spark, d).withColumn("job_id", domain_of(F.col("normalized_url")))
+    first = dedup.earliest(named, ["job_id"], ["page_id"])
+    seeds = first.select("job_id", "url", "normalized_url", F.lit(1).alias("max_depth"), F.array("job_id").alias("allowed_domains"))
+    work = _crawl(spark, d, seeds, _jobs(seeds, 1), robots=B.robots(spark, d), agent=crawl_queries.AGENT, retries=False)
+    counts = work.tables["job_counts"].read(spark).select("job_id", "parsed", "skipped", "failed", (F.col("queued") + F.col("claimed") + F.col("fetched")).alias("open"))
+    jobs = work.tables["jobs"].read(spark).select(F.col("id").alias("job_id"), "status", "urls_queued")
+    return flat(jobs.join(counts, "job_id", "left"))
+
+
 QUERIES = {f.__name__: f for f in (
     stream_ledger, stream_ttl_claims, stream_ttl_claims_forced, stream_rate_5m, stream_politeness, stream_dlq_replay,
     stream_quarantine, stream_decode, stream_upsert_pages, stream_stages,
+    stream_crawl, stream_job_status,
 )}
 
 _PAGES = f"""WITH {S.LINKS}, {S.CANONICAL_PAGES}, li AS (SELECT page_id, count(*) AS n FROM links GROUP BY 1)
   SELECT nu AS normalized_url, {S.collapse(S.TITLE, 1024)} AS title, {S.LANGUAGE} AS language, {S.collapse(S.SNIPPET, 500)} AS text_snippet,
   coalesce(n, 0) AS link_count/*more*/ FROM mk JOIN (SELECT page_id, nu FROM cpages) USING (page_id) LEFT JOIN li USING (page_id)"""
 
+#: Robots rules stop a page and its links; a URL without a page fails.
+_SITES = f"""{S.LINKS}, {crawl_queries._ROBOTS},
+seed AS (SELECT {S.host('nu')} AS job, nu, page_id FROM cpages QUALIFY row_number() OVER (PARTITION BY {S.host('nu')} ORDER BY page_id) = 1),
+found AS (SELECT DISTINCT job, dst FROM seed JOIN verdict USING (page_id) JOIN links USING (page_id) WHERE allowed AND pos < 50 AND {S.host('dst')} = job AND dst <> nu),
+reach AS (SELECT job, dst, coalesce(arg_min(allow, n), true) AS allowed FROM found LEFT JOIN rules
+  ON job = site AND starts_with(regexp_extract(dst, '^[a-z]+://[^/]*(/.*)$', 1), path) GROUP BY ALL),
+state AS (SELECT job, CASE WHEN allowed THEN 'parsed' ELSE 'skipped' END AS status FROM seed JOIN verdict USING (page_id)
+  UNION ALL SELECT job, CASE WHEN NOT allowed THEN 'skipped' WHEN dst IN (SELECT nu FROM cpages) THEN 'parsed' ELSE 'failed' END FROM reach)"""
+
 ORACLE = {
     "stream_ledger": f"WITH {S.EVENTS} SELECT DISTINCT user_id || ':' || k AS ref, 'crawler' AS stage FROM ev",
     "stream_ttl_claims": state_queries.ORACLE["ttl_claims"],
@@ -132,6 +191,17 @@ ORACLE = {
     "stream_decode": f"""WITH {S.EVENTS} SELECT event_id::VARCHAR AS event_id, event_type AS trace_id, user_id::VARCHAR AS job_id, 'http://h/' || k AS normalized_url,
       1::BIGINT AS attempt, 1::BIGINT AS schema_version, k::BIGINT AS depth, 1::BIGINT AS max_depth, 0::BIGINT AS domains, false AS force_recrawl
       FROM ev WHERE event_type NOT IN ('error', 'signup')""",
-    "stream_upsert_pages": _PAGES,
+    "stream_upsert_pages": f"""WITH {S.LINKS}, {S.canonical('cp', 'pages', 'url')}, li AS (SELECT page_id, count(*) AS n FROM links GROUP BY 1),
+      w AS (SELECT nu, min(page_id) AS first, max(page_id) AS last FROM cp GROUP BY 1)
+      SELECT substr(sha256('url:' || nu), 1, 32) AS url_id, first::VARCHAR AS id, {S.collapse(S.TITLE, 1024)} AS title, {S.LANGUAGE} AS language,
+      {S.collapse(S.SNIPPET, 500)} AS text_snippet, coalesce(n, 0) AS link_count, 0::BIGINT AS metadata, {S.stamp("(to_timestamp(first) AT TIME ZONE 'UTC')")} AS created_at
+      FROM w JOIN mk ON page_id = last LEFT JOIN li ON li.page_id = last""",
     "stream_stages": _PAGES.replace("/*more*/", ", sha256(html) AS checksum"),
+    "stream_crawl": f"""WITH RECURSIVE {crawl_queries._LINKS}, b AS (SELECT 'p' || n_nationkey AS u, 0::BIGINT AS depth FROM nation
+      UNION SELECT dst, depth + 1 FROM b JOIN top ON src = u WHERE depth < 2),
+      m AS (SELECT u, min(depth) AS depth FROM b GROUP BY 1)
+      SELECT 'job' AS job_id, 'http://shop.example.com/' || u AS normalized_url, depth, CASE WHEN has THEN 'parsed' ELSE 'failed' END AS status,
+      CASE WHEN NOT has THEN 'no response' END AS error FROM (SELECT u, depth, u IN (SELECT src FROM top) AS has FROM m)""",
+    "stream_job_status": f"""WITH {_SITES} SELECT job AS job_id, 'completed' AS status, count(*) AS urls_queued, count(*) FILTER (status = 'parsed') AS parsed,
+      count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed, 0::BIGINT AS open FROM state GROUP BY 1""",
 }

@@ -56,23 +56,29 @@ _BASE = [
     ("schema_version", _I), ("attempt", _I), ("timestamp", _TS),
 ]
 URL_DISCOVERED = _struct(
-    *_BASE, ("depth", _I), ("max_depth", _I), ("allowed_domains", _STRINGS), ("force_recrawl", _B)
+    *_BASE, ("depth", _I), ("max_depth", _I), ("allowed_domains", _STRINGS), ("force_recrawl", _B), ("replay", _I)
 )
 HTML_FETCHED = _struct(
     *_BASE, ("storage_key", _S), ("checksum", _S), ("size_bytes", _I), ("http_status", _I),
     ("fetch_duration_ms", _D), ("content_type", _S), ("depth", _I), ("max_depth", _I),
-    ("allowed_domains", _STRINGS),
+    ("allowed_domains", _STRINGS), ("replay", _I),
 )
 PAGE_PARSED = _struct(
     *_BASE, ("storage_key", _S), ("checksum", _S), ("title", _S), ("description", _S),
     ("language", _S), ("text_snippet", _S), ("extracted_links", _STRINGS), ("metadata", _META),
-    ("depth", _I),
+    ("depth", _I), ("schema_types", _STRINGS), ("size_bytes", _I), ("replay", _I),
 )
 URL_FAILED = _struct(
     *_BASE, ("error", _S), ("stage", _S), ("depth", _I), ("max_depth", _I),
     ("allowed_domains", _STRINGS), ("force_recrawl", _B), ("storage_key", _S), ("checksum", _S),
-    ("page_payload", _S),
+    ("page_payload", _S), ("replay", _I),
 )
+#: A change of a URL's state in a job; ``depth`` is told by whoever queues the URL.
+TRANSITIONS = _struct(
+    ("job_id", _S), ("normalized_url", _S), ("depth", _I), ("status", _S), ("error", _S), ("checkpoint", _META), ("timestamp", _TS),
+)
+CLAIMS = _struct(("url_key", _S), ("claimed_at", _TS))
+JOB_COUNTS = _struct(("job_id", _S), *[(s, T.LongType()) for s in JOB_URL_STATUSES])
 
 # Topic -> event schema, required fields and defaults.
 EVENTS = {
@@ -89,7 +95,7 @@ REQUIRED = {
 }
 DEFAULTS = {
     "trace_id": "", "schema_version": 1, "attempt": 1, "depth": 0, "max_depth": 1,
-    "force_recrawl": False, "http_status": 200, "fetch_duration_ms": 0.0,
+    "force_recrawl": False, "replay": 0, "http_status": 200, "fetch_duration_ms": 0.0,
     "content_type": "text/html", "stage": "crawler",
 }
 DLQ_ENVELOPE = _struct(("error", _S), ("payload", _S))

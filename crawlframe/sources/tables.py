@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlframe.functions.urls import url_key
+from crawlframe.session import small_or_shuffled
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,20 +43,20 @@ def artifacts(pages: DataFrame, job_id: Column, normalized_url: str = "normalize
     )
 
 
-def write_artifacts(pages: DataFrame, folder: str, buckets: int = 64) -> None:
-    """Append raw pages below a bucket of the key, so one large job spreads over many files."""
+def write_artifacts(pages: DataFrame, folder: str, buckets: int = 64, mode: str = "append") -> None:
+    """Store raw pages below a bucket of the key, so one large job spreads over many files."""
     (
         pages.withColumn("bucket", F.pmod(F.xxhash64("storage_key"), F.lit(buckets)).cast("int"))
-        .write.mode("append").partitionBy("bucket").parquet(folder)
+        .write.mode(mode).partitionBy("bucket").parquet(folder)
     )
 
 
-def read_artifacts(spark: SparkSession, folder: str, wanted: DataFrame, buckets: int = 64) -> DataFrame:
+def read_artifacts(spark: SparkSession, folder: str, wanted: DataFrame, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
     """Raw pages of the wanted keys; the bucket in the join condition prunes folders."""
     keyed = wanted.withColumn(
         "bucket", F.pmod(F.xxhash64("storage_key"), F.lit(buckets)).cast("int")
     )
-    return keyed.join(spark.read.parquet(folder), ["bucket", "storage_key"]).drop("bucket")
+    return spark.read.parquet(folder).join(small_or_shuffled(keyed), ["bucket", *(keys or ["storage_key"])]).drop("bucket")
 
 
 def read_html_files(spark: SparkSession, folder: str) -> DataFrame:
