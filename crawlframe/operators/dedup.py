@@ -176,11 +176,13 @@ def claim_batch(events: DataFrame, held: DataFrame, key: str, ts: str, event_id:
 
 
 def content_changes(fetched: DataFrame, stored: DataFrame, html: str = "html") -> DataFrame:
-    """Compare each fetched page with the stored hash of its canonical URL: new, changed, unchanged."""
+    """Compare each fetched page with the stored hash of its canonical URL: new, changed, unchanged.
+
+    Pages come with their ``checksum`` or with their HTML, which is hashed before anything is shuffled.
+    """
     known = stored.select("normalized_url", F.col("content_hash").alias("stored_hash"))
-    compared = fetched.withColumn("checksum", F.sha2(F.col(html), 256)).drop(html).join(
-        known, "normalized_url", "left"
-    )
+    hashed = fetched if "checksum" in fetched.columns else fetched.withColumn("checksum", F.sha2(F.col(html), 256)).drop(html)
+    compared = hashed.join(known, "normalized_url", "left")
     absent = F.coalesce(F.col("stored_hash"), F.lit("")) == ""
     return compared.withColumn(
         "change",

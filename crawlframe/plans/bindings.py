@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from crawlframe.functions.urls import domain_of, normalize_url
 from crawlframe.operators.dedup import earliest
-from crawlframe.session import spread
-from crawlframe.sources.tables import read_table
+from crawlframe.session import small_or_shuffled, spread
+from crawlframe.sources.tables import read_table, storage_key
 
 NOW = "2001-08-01 12:00:00"
 
@@ -45,12 +45,25 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 def canonical_pages(spark: SparkSession, d: str, *extra) -> DataFrame:
     """One page per canonical URL: the one with the smallest id.
 
-    Only the ``extra`` columns are carried through the aggregation besides id and URLs.
+    Only the ``extra`` columns are carried through the aggregation besides id and URLs: hashes, sizes or links of a page,
+    taken while it is scanned, never its HTML.
     """
     named = pages(spark, d).select("page_id", "url", normalize_url("url").alias("normalized_url"), *extra)
     return earliest(named, ["normalized_url"], ["page_id"])
 
 
+def canonical_html(spark: SparkSession, d: str) -> DataFrame:
+    """page_id, url, normalized_url and html of the same pages; they are chosen by id and only then read whole."""
+    chosen = canonical_pages(spark, d).select("page_id", "normalized_url")
+    return pages(spark, d).join(small_or_shuffled(chosen), "page_id").select("page_id", "url", "normalized_url", "html")
+
+
+def hashed_pages(spark: SparkSession, d: str, job: str) -> DataFrame:
+    """The same pages with storage_key, checksum and size_bytes."""
+    chosen = canonical_pages(spark, d, F.sha2("html", 256).alias("checksum"), F.octet_length("html").alias("size_bytes"))
+    return chosen.withColumn("storage_key", storage_key(F.lit(job), F.col("normalized_url")))
+
+
 def urls(spark: SparkSession, d: str) -> DataFrame:
     """URL table of the pages; state and times come from the order of the same number."""
     o = read_table(spark, d, "orders")

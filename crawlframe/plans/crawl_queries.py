@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlframe.functions.html import page_links, visible_markup
 from crawlframe.functions.text import trace_context
 from crawlframe.operators import crawl, dedup, metrics, retry
-from crawlframe.operators.corpus import extract_pages
 from crawlframe.plans import bindings as B
 from crawlframe.plans import sql_text as S
 from crawlframe.plans.bindings import flat
-from crawlframe.sources.tables import artifacts, read_table
+from crawlframe.sources.tables import read_table
 
 AGENT = "crawlframe/1.0"
 POOL = ["http://a.proxy:1", "http://b.proxy:2", "http://c.proxy:3"]
@@ -73,7 +73,7 @@ def frontier_bfs(spark, d):
 
 def frontier_corpus(spark, d):
     """Every page as a seed of one of ten jobs; links stay inside the parent domain."""
-    p = extract_pages(B.canonical_pages(spark, d, "html").select("page_id", "normalized_url", "url", "html"))
+    p = B.canonical_pages(spark, d, page_links(visible_markup(F.col("html")), F.col("url")).alias("extracted_links"))
     seeds = p.select(
         (F.col("page_id") % 10).alias("job_id"), "normalized_url", F.lit(1).alias("max_depth"),
         F.array(F.lit("example.com"), F.lit("example.org")).alias("allowed_domains"),
@@ -117,8 +117,7 @@ def fetch_outcome(spark, d):
     claims = dedup.claim_winners(log.filter(~F.col("is_duplicate")), "user_id", "ts", "event_id").withColumn("is_claimed", F.lit(False))
     log = log.join(claims, "event_id", "left").withColumn("is_claimed", F.col("is_claimed").isNull())
 
-    pages = artifacts(B.canonical_pages(spark, d, "html"), F.lit("job-1"))
-    pages = crawl.robots_filter(pages, B.robots(spark, d), AGENT)
+    pages = crawl.robots_filter(B.hashed_pages(spark, d, "job-1"), B.robots(spark, d), AGENT)
     pages = pages.select(
         F.col("page_id").alias("user_id"), "normalized_url", "checksum", "storage_key", "allowed",
         F.when(F.col("page_id") % 2 == 0, F.col("checksum")).alias("stored_hash"),

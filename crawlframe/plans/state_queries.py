@@ -9,7 +9,6 @@ from crawlframe.operators.corpus import clean_pages, extract_pages
 from crawlframe.plans import bindings as B
 from crawlframe.plans import sql_text as S
 from crawlframe.plans.bindings import flat
-from crawlframe.sources.tables import artifacts
 
 
 def _keyed_events(spark, d):
@@ -50,21 +49,19 @@ def queue_if_absent(spark, d):
 
 def _snapshot(spark, d):
     """Stored hashes: exact for the first third of the ids by remainder, altered for the next, none for the rest."""
-    return B.canonical_pages(spark, d, "html").select(
-        "normalized_url",
-        F.when(F.col("page_id") % 3 == 0, F.sha2("html", 256))
-        .when(F.col("page_id") % 3 == 1, F.sha2(F.concat(F.col("html"), F.lit("!")), 256)).alias("content_hash"),
-    )
+    stored = F.when(F.col("page_id") % 3 == 0, F.sha2("html", 256)).when(
+        F.col("page_id") % 3 == 1, F.sha2(F.concat(F.col("html"), F.lit("!")), 256))
+    return B.canonical_pages(spark, d, stored.alias("content_hash")).select("normalized_url", "content_hash")
 
 
 def content_change(spark, d):
-    fetched = B.canonical_pages(spark, d, "html").select("page_id", "normalized_url", "html")
+    fetched = B.hashed_pages(spark, d, "job").select("page_id", "normalized_url", "checksum")
     changes = dedup.content_changes(fetched, _snapshot(spark, d))
     return flat(changes.select("page_id", "normalized_url", "checksum", "change"))
 
 
 def touch_unchanged(spark, d):
-    fetched = B.canonical_pages(spark, d, "html").select("normalized_url", "html")
+    fetched = B.hashed_pages(spark, d, "job").select("normalized_url", "checksum")
     changes = dedup.content_changes(fetched, _snapshot(spark, d))
     urls = B.urls(spark, d).select("normalized_url", "last_crawled_at")
     return flat(dedup.touch_unchanged(urls, changes, B.now()))
@@ -103,8 +100,7 @@ def upsert_pages(spark, d):
 
 
 def upsert_artifacts(spark, d):
-    p = B.canonical_pages(spark, d, "html")
-    raw = artifacts(p, F.lit("job-2")).select(F.sha2("normalized_url", 256).alias("url_id"), "storage_key", "checksum", "size_bytes", "page_id", F.lit(200).alias("http_status"))
+    raw = B.hashed_pages(spark, d, "job-2").select(F.sha2("normalized_url", 256).alias("url_id"), "storage_key", "checksum", "size_bytes", "page_id", F.lit(200).alias("http_status"))
     old = raw.filter(F.col("size_bytes") > 10000).select("url_id", F.lit("old").alias("storage_key"), F.lit("old").alias("checksum"), F.lit(0).alias("size_bytes"), F.lit(201).alias("http_status"))
     return flat(merge.upsert_artifacts(old, raw, ["page_id"]))
 

@@ -110,7 +110,7 @@ def stream_upsert_pages(spark, d):
 def _crawl(spark, d, seeds, jobs, corpus=None, **how):
     work = stages.Work(spark, run_folder(spark, "stages"))
     if corpus is None:
-        corpus = B.canonical_pages(spark, d, "html").select("normalized_url", "html", F.lit(200).alias("http_status"))
+        corpus = B.canonical_html(spark, d).select("normalized_url", "html", F.lit(200).alias("http_status"))
     stages.seed(work, jobs, seeds.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
     stages.drain(work, corpus, **how)
     return work

@@ -1,5 +1,7 @@
 """Every registered query: plan shape and, where SQL is given, equal results."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -31,6 +33,15 @@ def test_query(spark, con, name):
     assert [u for u in UNWANTED if u in seen[0]] == []
 
 
+@pytest.mark.parametrize("name", ["content_change", "touch_unchanged", "fetch_outcome", "upsert_artifacts", "upsert_urls", "frontier_corpus", "top_domains"])
+def test_raw_html_is_not_shuffled(spark, name):
+    """Pages are hashed or read for links in the scan; their HTML is in no exchange and no aggregate."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if re.search(r"Exchange|Aggregate", line):
+            assert not re.search(r"\bhtml#\d+", re.sub(r"sha2\(.*?256\)", "", line)), line
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLE) <= set(QUERIES)
