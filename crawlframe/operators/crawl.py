@@ -9,7 +9,7 @@ from crawlframe.functions.lang import unnest
 from crawlframe.functions.robots import allowed_by, request_target, rules_for
 from crawlframe.functions.urls import domain_of, keep_allowed, netloc_of, normalize_url, normalize_urls, url_key
 from crawlframe.operators.dedup import earliest
-from crawlframe.operators.ordered import CHUNK, before, count_before, join_carry, time_chunk
+from crawlframe.operators.ordered import CHUNK, before, by_position, count_before, join_carry
 from crawlframe.session import durable, small_or_shuffled
 
 FAN_OUT = 50
@@ -160,18 +160,16 @@ def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, url: str = "ur
 
 
 def politeness(arrivals: DataFrame, domain: str, ts: str, order: list[str], rate: float = 1.0,
-               burst: int = 5, chunk_seconds: float = 3600) -> DataFrame:
+               burst: int = 5) -> DataFrame:
     """Earliest dispatch time of every request under a token bucket per domain.
 
     With n the arrival number and g = 1/rate, a request leaves at the later of its arrival and
     max over earlier arrivals of (t - (n-1)g), plus (n - burst)g. Both running values are carried
-    across time chunks, so a busy domain spreads over tasks.
+    across chunks by position, so a busy domain spreads over tasks, also the requests of one instant.
     """
     g = 1_000_000.0 / rate
     keys = [domain]
-    rows = arrivals.withColumns({
-        CHUNK: time_chunk(F.col(ts), chunk_seconds), "_t": F.unix_micros(F.col(ts)).cast("double"),
-    })
+    rows = by_position(arrivals.withColumn("_t", F.unix_micros(F.col(ts)).cast("double")), keys, [ts, *order])
     inside = Window.partitionBy(domain, CHUNK).orderBy(ts, *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_n", F.row_number().over(inside)).withColumn("_h", F.col("_t") - (F.col("_n") - 1) * g)
@@ -230,12 +228,12 @@ def fetch_outcomes(log: DataFrame) -> DataFrame:
 
 
 def assign_round_robin(requests: DataFrame, pool: list[str], lane: list[str], order: list[str],
-                       ts: str, failed: Column | None = None, chunk_seconds: float = 3600) -> DataFrame:
+                       ts: str, failed: Column | None = None) -> DataFrame:
     """Give each request the next pool member of its lane; a failed request skips one more."""
     if not pool:
         return requests.withColumn("proxy", F.lit(None).cast("string"))
     used = F.lit(1) if failed is None else F.when(failed, 2).otherwise(1)
-    chunked = requests.withColumn(CHUNK, time_chunk(F.col(ts), chunk_seconds))
+    chunked = by_position(requests, lane, [ts, *order])
     turned = count_before(chunked, lane, [ts, *order], used, "_turn")
     members = F.array(*[F.lit(p) for p in pool])
     return turned.withColumn("proxy", F.element_at(members, (F.col("_turn") % len(pool)).cast("int") + 1)).drop("_turn", CHUNK)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlframe.functions.lang import unnest
-from crawlframe.operators.ordered import CHUNK, count_before, join_carry, time_chunk
+from crawlframe.operators.ordered import CHUNK, by_position, count_before, join_carry
 from crawlframe.session import durable, small_or_shuffled
 
 HOUR = 3600
@@ -117,7 +117,7 @@ def ttl_claims(events: DataFrame, key: str, ts: str, ttl_seconds: int = DAY,
             F.coalesce(F.bool_or(~F.coalesce(F.col(force), F.lit(False))), F.lit(False)).alias("plain"),
         )
         cut = count_before(
-            merged.withColumn(CHUNK, time_chunk(F.col("ts"), HOUR)), ["k"], ["ts"],
+            by_position(merged, ["k"], ["ts"]), ["k"], ["ts"],
             F.col("f").cast("int"), "seg", inclusive=True,
         )
         times = cut.filter("plain").select("k", F.unix_micros("ts").alias("t"), "seg")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlframe.operators.ordered import CHUNK, count_before
+from crawlframe.operators.ordered import by_position, count_before
 
 # Histogram bucket bounds in seconds.
 CRAWL_BUCKETS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0]
@@ -80,20 +80,15 @@ def window_quantile(log: DataFrame, ts: str, value: str, labels: list[str], boun
     return merged.select(*labels, "window_end", F.col("_all").alias("observations"), estimate.alias("quantile"))
 
 
-def exact_quantile(log: DataFrame, value: str, labels: list[str], q: float = 0.95, cuts: int = 1024) -> DataFrame:
+def exact_quantile(log: DataFrame, value: str, labels: list[str], q: float = 0.95) -> DataFrame:
     """Exact interpolated quantile per label.
 
-    Equal values are counted before the shuffle; running counts are carried across ``cuts`` value
-    ranges, so the values of a frequent label spread over tasks.
+    Equal values are counted before the shuffle; running counts are carried across chunks by position in the order of the values, so
+    a frequent label spreads evenly over tasks, however its values lie.
     """
     held = log.filter(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("_n"))
-    span = held.groupBy(*labels).agg(
-        F.min(value).alias("_min"), F.max(value).alias("_max"), F.sum("_n").alias("_all")
-    )
-    width = F.nullif((F.col("_max") - F.col("_min")) / cuts, F.lit(0.0))
-    cut = F.coalesce(F.floor((F.col(value) - F.col("_min")) / width), F.lit(0))
-    spread = held.join(span, labels).withColumn(CHUNK, cut)
-    upto = count_before(spread, labels, [value], F.col("_n"), "_upto", inclusive=True)
+    counted = count_before(by_position(held, labels, [value]), labels, [value], F.col("_n"), "_upto", inclusive=True)
+    upto = counted.join(counted.groupBy(*labels).agg(F.sum("_n").alias("_all")), labels)
     rank = (F.col("_all") - 1) * q
     ends = upto.groupBy(*labels).agg(
         F.min(F.when(F.col("_upto") > F.floor(rank), F.col(value))).alias("_lo"),

@@ -1,8 +1,8 @@
 """Running values along an order, without putting a whole key into one task.
 
-A key may hold a large share of all rows. Its rows are cut into time chunks; windows run inside
-(key, chunk), one summary row per chunk is scanned along the key, and the carried value is joined
-back. The scan over summaries grows with the time span, not with the rows.
+A key may hold a large share of all rows, even at one instant. Rows are cut into chunks by their position in the order of
+(key, time, id), all of about the same number of rows; windows run inside (key, chunk), one summary row per chunk is scanned along
+the key, and the carried value is joined back. A key has at most as many summaries as there are partitions.
 """
 
 from __future__ import annotations
@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlframe.session import durable
+
 CHUNK = "_chunk"
 
 
-def time_chunk(ts: Column, seconds: float) -> Column:
-    """Number of the time chunk that holds a timestamp."""
-    return F.floor(F.unix_micros(ts) / F.lit(int(seconds * 1_000_000)))
+def by_position(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add the number of the chunk of each row, ascending along (keys, order); no row of a chunk lies between those of another.
+
+    The chunks are range partitions. They are written once, so that every branch of the scan, and every repeated task, sees the same cuts.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id()))
 
 
 def join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:

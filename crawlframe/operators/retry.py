@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlframe.operators.ordered import CHUNK, before, join_carry, time_chunk
+from crawlframe.operators.ordered import CHUNK, before, by_position, join_carry
 
 # Retry and replay limits.
 MAX_ATTEMPTS = 5
@@ -47,16 +47,16 @@ def reemit(retries: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def replay_numbers(letters: DataFrame, key: str, ts: str, order: list[str],
-                   ttl_seconds: int = REPLAY_TTL_SECONDS, chunk_seconds: float = 3600) -> DataFrame:
+                   ttl_seconds: int = REPLAY_TTL_SECONDS) -> DataFrame:
     """Add replay_no: the count of letters of an id since its counter last expired.
 
     The counter expires ``ttl_seconds`` after its latest increment, so a longer gap starts a new
-    run. Row numbers and run starts are carried across time chunks: the id of letters without one
+    run. Row numbers and run starts are carried across chunks by position: the id of letters without one
     may be shared by a large part of all rows.
     """
     ttl = ttl_seconds * 1_000_000
     keys = [key]
-    rows = letters.withColumns({CHUNK: time_chunk(F.col(ts), chunk_seconds), "_t": F.unix_micros(F.col(ts))})
+    rows = by_position(letters.withColumn("_t", F.unix_micros(F.col(ts))), keys, [ts, *order])
     inside = Window.partitionBy(key, CHUNK).orderBy(ts, *order)
     local = rows.withColumns({
         "_n": F.row_number().over(inside), "_gap": F.col("_t") - F.lag("_t").over(inside),

@@ -4,10 +4,11 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crawlframe.operators import accounting, corpus, crawl, dedup, merge, metrics, retry, search
+from crawlframe.operators import accounting, corpus, crawl, dedup, merge, metrics, ordered, retry, search
 from crawlframe.sources import events as E
 from crawlframe.sources.tables import artifacts, read_artifacts, read_html_files, write_artifacts
 
@@ -51,7 +52,40 @@ def test_claims_at_one_instant(spark):
     assert rows(dedup.claim_winners(df, "k", "ts", "event_id")) == [(2,), (4,), (5,)]
 
 
-def test_politeness_like_a_bucket(spark):
+@pytest.fixture
+def partitions(spark):
+    """Sets the number of shuffle partitions for one test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", n)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_one_key_at_one_instant_spreads(spark, partitions):
+    """Chunks by position are even, in order, and give one running count."""
+    partitions("8")
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.lit(at(0)).alias("ts"), "id")
+    chunks = ordered.by_position(df, ["k"], ["ts", "id"])
+    sizes = chunks.groupBy(ordered.CHUNK).agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy(ordered.CHUNK).collect()
+    assert len(sizes) == 8 and max(r["n"] for r in sizes) < 2 * 20_000 / 8
+    assert all(a["hi"] < b["lo"] for a, b in zip(sizes, sizes[1:]))
+    got = ordered.count_before(chunks, ["k"], ["ts", "id"], F.lit(1), "n")
+    assert got.where("n <> id").count() == 0
+    replayed = retry.replay_numbers(df, "k", "ts", ["id"])
+    assert replayed.where("replay_no <> id + 1").count() == 0
+    waits = crawl.politeness(df, "k", "ts", ["id"], rate=1.0, burst=5)
+    assert waits.where(F.abs(F.col("wait_seconds") - F.greatest(F.col("id") - 4, F.lit(0))) > 1e-6).count() == 0
+
+
+def test_exact_quantile_with_an_outlier(spark, partitions):
+    """One far value does not put the others into one chunk."""
+    partitions("6")
+    values = [*[i / 7 for i in range(3_000)], 1e12]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 5.0), ("b", None)], "k string, v double")
+    got = {r["k"]: r["quantile"] for r in metrics.exact_quantile(df, "v", ["k"]).collect()}
+    assert abs(got["a"] - float(np.quantile(values, 0.95))) < 1e-9 and got["b"] == 5.0
+
+
+def test_politeness_like_a_bucket(spark, partitions):
     rnd = random.Random(3)
     log = [(f"d{rnd.randrange(3)}", round(rnd.random() * 60, 3), i) for i in range(150)] + [("idle", t, 900 + i) for i, t in enumerate([0, 0, 0, 0, 0, 0, 0, 500, 500])]
     want = {}
@@ -66,21 +100,23 @@ def test_politeness_like_a_bucket(spark):
             tokens, last, clock = tokens - 1, now, now
             want[i] = now - t
     df = spark.createDataFrame([(d, at(t), i) for d, t, i in log], "d string, ts timestamp, i long")
-    for width in (5, 3600):
-        got = {r["i"]: r["wait_seconds"] for r in crawl.politeness(df, "d", "ts", ["i"], chunk_seconds=width).collect()}
+    for parts in ("3", "17"):
+        partitions(parts)
+        got = {r["i"]: r["wait_seconds"] for r in crawl.politeness(df, "d", "ts", ["i"]).collect()}
         assert got.keys() == want.keys()
         assert max(abs(got[i] - want[i]) for i in want) < 1e-5
 
 
 def test_round_robin(spark):
     df = spark.createDataFrame([("a", at(i), i, i == 1) for i in range(5)], "lane string, ts timestamp, i long, bad boolean")
-    got = crawl.assign_round_robin(df, ["x", "y", "z"], ["lane"], ["i"], "ts", F.col("bad"), chunk_seconds=2)
+    got = crawl.assign_round_robin(df, ["x", "y", "z"], ["lane"], ["i"], "ts", F.col("bad"))
     assert [r["proxy"] for r in got.orderBy("i").collect()] == ["x", "y", "x", "y", "z"]
     assert crawl.assign_round_robin(df, [], ["lane"], ["i"], "ts").filter("proxy is not null").count() == 0
 
 
-@pytest.mark.parametrize("width", [600, 86400 * 30])
-def test_replay_numbers(spark, width):
+@pytest.mark.parametrize("parts", ["2", "13"])
+def test_replay_numbers(spark, partitions, parts):
+    partitions(parts)
     rnd = random.Random(5)
     log = [(f"e{rnd.randrange(4)}", rnd.randrange(0, 900_000), i) for i in range(90)] + [("edge", 0, 200), ("edge", 86_399, 201), ("edge", 172_799, 202)]
     want, state = {}, {}
@@ -90,7 +126,7 @@ def test_replay_numbers(spark, width):
         state[k] = (n, t)
         want[i] = n
     df = spark.createDataFrame([(k, at(t), i) for k, t, i in log], "k string, ts timestamp, i long")
-    got = {r["i"]: r["replay_no"] for r in retry.replay_numbers(df, "k", "ts", ["i"], chunk_seconds=width).collect()}
+    got = {r["i"]: r["replay_no"] for r in retry.replay_numbers(df, "k", "ts", ["i"]).collect()}
     assert got == want
 
 
@@ -233,6 +269,6 @@ def test_metrics(spark):
     got = metrics.alerts(log, "ts", 0.4, 5, ["l"])
     assert [(r["breach_start"], r["fired_at"], r["breach_end"]) for r in got.collect()] == [(at(300), at(600), at(720))]
     values = spark.createDataFrame([("a", float(v)) for v in range(101)], "l string, v double")
-    assert metrics.exact_quantile(values, "v", ["l"], 0.95, cuts=7).first()["quantile"] == 95.0
+    assert metrics.exact_quantile(values, "v", ["l"], 0.95).first()["quantile"] == 95.0
     hist = {r["le"]: r["events"] for r in metrics.histogram(values, "v", ["l"], metrics.CRAWL_BUCKETS).collect()}
     assert (hist["0.1"], hist["5.0"], hist["60.0"], hist["+Inf"]) == (1, 6, 61, 101)
