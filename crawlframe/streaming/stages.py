@@ -4,8 +4,8 @@ A stage decodes its topic, drops repeated events, treats each micro-batch with t
 each outgoing topic to a folder of its own batch; a repeated batch overwrites that folder. The crawl stage feeds its own topic
 with the links it discovers, so draining the stages walks the link graph level by level.
 
-What outlives a batch is either the state of the one deduplication or a table in buckets (``Snapshot``), of which a batch
-rewrites only those it touches: claims, URLs, artifacts, pages, URLs of jobs, counts of jobs.
+What outlives a batch is in tables, not in stream state: the ledger of each stage, and tables in buckets (``Snapshot``), of which
+a batch rewrites only those it touches: claims, URLs, artifacts, pages, URLs of jobs, counts of jobs.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from crawlframe.session import small_or_shuffled
 from crawlframe.sources.events import RECORD, dead_letters, decode, encode
 from crawlframe.sources.snapshots import Snapshot
 from crawlframe.sources.tables import artifacts, read_artifacts, write_artifacts
+from crawlframe.streaming.ledger import Ledger
 from crawlframe.streaming.runtime import run_available
 
 TOPICS = [*EVENTS, "dlq"]
@@ -81,37 +82,34 @@ class Work:
         return self._stream(TRANSITIONS, f"{self.folder}/status", max_files)
 
 
-def once(events: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Ledger and seen set of a stage, in one state: a URL that is discovered passes once a job; a retry or a replay passes once for
-    its event, attempt and replay number. A watermark bounds the state (and forgets URLs seen earlier)."""
+def once_key(topic: str) -> Column:
+    """What passes a stage once: a URL of a job when it is first discovered (the job's seen set), else a try of an event."""
     again = F.concat_ws("|", "event_id", "attempt", "replay")
-    key = again
-    if "max_depth" in events.columns and "storage_key" not in events.columns:
-        first = (F.col("attempt") == 1) & (F.col("replay") == 0)
-        key = F.when(first, F.concat_ws("|", F.lit("seen"), "job_id", url_key(F.col("normalized_url")))).otherwise(again)
-    keyed = events.withColumn("_once", key)
-    if watermark is None:
-        return keyed.dropDuplicates(["_once"]).drop("_once")
-    return keyed.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["_once"]).drop("_once")
-
-
-def run_stage(work: Work, topic: str, stage: str, handle: Callable[[DataFrame, int], dict[str, DataFrame]], watermark: str | None = None) -> int:
-    """Run one stage over what its topic holds now; the number of events it took. Undecodable records go to a quarantine folder."""
+    if topic != "url.discovered":
+        return again
+    first = (F.col("attempt") == 1) & (F.col("replay") == 0)
+    return F.when(first, F.concat_ws("|", F.lit("seen"), "job_id", url_key(F.col("normalized_url")))).otherwise(again)
+
+
+def run_stage(work: Work, topic: str, stage: str, handle: Callable[[DataFrame, int], dict[str, DataFrame]]) -> int:
+    """Run one stage over what its topic holds now; the number of events it took. The stream itself keeps no state: what has passed
+    is in the stage's ledger. Undecodable records are left to ``quarantine``."""
     good, _ = decode(work.records(topic), topic)
-    state, taken = f"{work.folder}/checkpoints/{stage}", 0
+    ledger, taken = Ledger(f"{work.folder}/ledger/{stage}", work.buckets), 0
 
     def each(batch: DataFrame, batch_id: int) -> None:
         nonlocal taken
-        batch = batch.persist()
+        held = ledger.first_time(batch, once_key(topic), ["timestamp", "event_id"], batch_id)
+        fresh = held.drop("_key", "_bucket")
         try:
-            if n := batch.count():
-                for name, out in handle(batch, batch_id).items():
+            if n := held.count():
+                for name, out in handle(fresh, batch_id).items():
                     work.publish(out, name, stage, batch_id)
                 taken += n
         finally:
-            batch.unpersist()
+            held.unpersist()
 
-    run_available(once(good, watermark), state, each)
+    run_available(good, f"{work.folder}/checkpoints/{stage}", each)
     return taken
 
 

@@ -13,6 +13,7 @@ from crawlframe.session import run_folder
 from crawlframe.sources import snapshots
 from crawlframe.sources.snapshots import Snapshot
 from crawlframe.streaming import keyed, stages
+from crawlframe.streaming.ledger import Ledger
 from crawlframe.streaming.runtime import BatchLog, collect_stream
 
 T0 = dt.datetime(2024, 1, 1)
@@ -199,3 +200,19 @@ def test_claims_of_batches_equal_one_log(spark):
     of = {e: (k, t, f) for k, t, e, f in log}
     assert sorted({of[e] for e in got}) == sorted(tuple(r) for r in want.collect())
     assert len(got) == len(set(got))
+
+
+def test_ledger_keeps_what_passed_over_batches_and_repeats(spark, tmp_path):
+    """Later batches drop what has passed, a repeated batch decides as before, tries and replays of an event are different keys."""
+    log = Ledger(str(tmp_path / "l"), 4)
+    key = F.concat_ws("|", "e", "attempt", "replay")
+    batch = lambda *data: spark.createDataFrame(data, "e string, attempt int, replay int, n int")
+    got = lambda df: sorted((r["e"], r["attempt"], r["replay"], r["n"]) for r in df.collect())
+    assert got(log.first_time(batch(("a", 1, 0, 2), ("a", 1, 0, 1), ("b", 1, 0, 3)), key, ["n"], 0)) == [("a", 1, 0, 1), ("b", 1, 0, 3)]
+    second = [("a", 1, 0, 4), ("a", 2, 0, 5), ("a", 1, 1, 6), ("c", 1, 0, 7)]
+    want = [("a", 1, 1, 6), ("a", 2, 0, 5), ("c", 1, 0, 7)]
+    assert got(log.first_time(batch(*second), key, ["n"], 1)) == want
+    assert got(log.first_time(batch(*second), key, ["n"], 1)) == want
+    assert got(log.first_time(batch(*second), key, ["n"], 2)) == []
+    assert got(log.first_time(batch(), key, ["n"], 3)) == []
+    assert got(log.first_time(batch(("d", 1, 0, 1)), key, ["n"], 4)) == [("d", 1, 0, 1)]
