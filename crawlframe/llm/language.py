@@ -18,6 +18,8 @@ from crawlframe.llm.common import crc_mod, map_rows, table
 WORD = re.compile(r"[^\W\d_]+")
 #: A bounded sample of labelled rows, and a bounded number of words and of n-grams of each length per language.
 TRAIN_ROWS, TOP_WORDS, TOP_GRAMS, LONGEST = 8_000, 20_000, 5_000, 5
+#: Texts that a worker takes from a batch at once.
+AT_ONCE = 250
 
 
 def words_of(text: str) -> list[str]:
@@ -36,7 +38,7 @@ class LanguageModel:
 
     languages: list[str]
     tables: list[dict[str, list[float]]]
-    keep: int = 400_000
+    keep: int = 100_000
     seen: dict[str, tuple[float, ...]] = field(default_factory=dict)
 
     def word(self, w: str) -> tuple[float, ...]:
@@ -100,7 +102,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
         keys = list(out)
         return {"l": [k[0] for k in keys], "n": [k[1] for k in keys], "g": [k[2] for k in keys], "c": list(out.values())}
 
-    counted = map_rows(df, count, "l string, n int, g string, c long").groupBy("l", "n", "g").agg(F.sum("c").alias("c"))
+    counted = map_rows(df, count, "l string, n int, g string, c long", 2 * AT_ONCE).groupBy("l", "n", "g").agg(F.sum("c").alias("c"))
     kind = W.partitionBy("l", "n")
     ranked = counted.withColumn("all", F.sum("c").over(kind)).withColumn(
         "r", F.row_number().over(kind.orderBy(F.desc("c"), "g"))
@@ -118,7 +120,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` of every row, from its whole text alone. Repeated rows give one row each."""
+    """``key``, ``lang_pred`` and ``score`` of every row, from its whole text alone. Repeated rows give one row each.
+
+    Of languages with equal scores the first by name wins. A text is held whole, the others of its batch only as Arrow bytes.
+    """
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def work(rows: dict):
@@ -126,7 +131,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", key: str =
         return {key: rows[key], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
     kind = dict(df.dtypes)[key]
-    return map_rows(df.select(F.col(key), F.col(text).alias("t")), work, f"`{key}` {kind}, lang_pred string, score double")
+    return map_rows(df.select(F.col(key), F.col(text).alias("t")), work, f"`{key}` {kind}, lang_pred string, score double", AT_ONCE)
 
 
 def keep_known(df: DataFrame, model: LanguageModel, least: float, text: str = "text") -> DataFrame:
@@ -138,8 +143,11 @@ def keep_known(df: DataFrame, model: LanguageModel, least: float, text: str = "t
 
     def work(batches):
         for batch in batches:
-            found = [sent.value.predict(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield batch.filter(pa.array([lang != "und" and s >= least for lang, s in found], pa.bool_()))
+            at = batch.schema.get_field_index(text)
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                found = (sent.value.predict(t.as_py()) for t in part.column(at))  # one text at a time as a Python string
+                yield part.filter(pa.array([lang != "und" and s >= least for lang, s in found], pa.bool_()))
 
     return df.mapInArrow(work, df.schema)
 
