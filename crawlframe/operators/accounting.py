@@ -71,6 +71,11 @@ def list_jobs(jobs: DataFrame, job_urls: DataFrame, limit: int = 20, offset: int
     )
 
 
+def job_listing_total(jobs: DataFrame) -> DataFrame:
+    """Number of all jobs, beside a page of the listing."""
+    return jobs.agg(F.count("*").alias("total"))
+
+
 def urls_per_job(job_urls: DataFrame, jobs: DataFrame) -> DataFrame:
     """URL count of each listed job."""
     ids = small_or_shuffled(jobs.select(F.col("id").alias("job_id")).distinct())

@@ -51,6 +51,10 @@ def stats_bundle(spark, d):
     return A.stats(B.jobs(spark, d), B.pages(spark, d), B.job_urls(spark, d), B.urls(spark, d), B.now())
 
 
+def jobs_total(spark, d):
+    return A.job_listing_total(B.jobs(spark, d))
+
+
 def jobs_page(spark, d):
     return flat(A.list_jobs(B.jobs(spark, d), B.job_urls(spark, d), limit=25, offset=50))
 
@@ -73,7 +77,7 @@ def stale_urls(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     status_counts, job_progress, job_completion, urls_per_job, stats_totals, urls_by_status_filled, top_domains,
-    crawl_rate_24h, stats_bundle, jobs_page, recent_jobs, schedules_newest, schedules_enabled, stale_urls,
+    crawl_rate_24h, stats_bundle, jobs_page, jobs_total, recent_jobs, schedules_newest, schedules_enabled, stale_urls,
 )}
 
 _JU = S.JOBS + "," + S.JOB_URLS
@@ -105,6 +109,7 @@ ORACLE = {
       UNION ALL SELECT 'crawl_rate_24h', '', count(*) FROM urls WHERE last_crawled_at >= {S.NOW} - INTERVAL 24 HOUR
       UNION ALL (SELECT 'urls_by_domain', domain, count(*) FROM urls GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 20)
       UNION ALL SELECT 'recent_jobs', id::VARCHAR, coalesce(n, 0) FROM jobs_page LEFT JOIN cnt ON id = job_id""",
+    "jobs_total": f"WITH {S.JOBS} SELECT count(*) AS total FROM jobs",
     "jobs_page": f"""WITH {_JU}, {_PAGE.format(n=25, o=50)} SELECT id, status, coalesce(n, urls_queued) AS urls_queued,
       {S.stamp('created_at')} AS created_at, coalesce(n, 0) AS url_count FROM jobs_page LEFT JOIN cnt ON id = job_id""",
     "recent_jobs": f"""WITH {_JU}, {_PAGE.format(n=10, o=0)} SELECT id, status, coalesce(n, urls_queued) AS urls_queued, coalesce(n, 0) AS url_count,
