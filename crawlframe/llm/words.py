@@ -60,7 +60,10 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; of all words as one if there are fewer, empty without words."""
     h = word_hashes(text)
-    return np.unique(runs(h, min(k, len(h)))) if len(h) else h
+    if not len(h):
+        return h
+    x = np.sort(runs(h, min(k, len(h))))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def grouped(df: DataFrame, keys: list[str], work: Callable[[dict], Iterator[dict] | None], schema: str) -> DataFrame:
