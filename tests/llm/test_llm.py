@@ -382,3 +382,29 @@ def test_pipeline(spark):
     assert all(len(t) <= len(texts[i]) for i, t in kept["substring dedup"].items())
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "ids", "n_tokens"] and {r["doc_id"] for r in out.collect()} <= set(texts)
+
+
+def test_passages_of_equal_texts(spark):
+    """Texts of the same words: each is a passage of the first one as a whole, and has the passages of that one."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    part = words(60)
+    first = " ".join(words(20) + part)
+    whole = " ".join(words(30) + part + words(30))
+    rows = [(1, first), (5, whole), (9, whole.upper()), (70, whole.replace(" ", "\n")), (200, whole), (201, None), (202, ""), (203, "a b"), (204, "a b")]
+    found = {tuple(r) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(i, 30, 90, 1, 20, 80, 60) for i in (5, 9, 70, 200)} | {(i, 0, 120, 5, 0, 120, 120) for i in (9, 70, 200)}
+
+
+def test_long_common_subsequences():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        a, b = (rng.integers(0, 6, rng.integers(0, 70)).astype(np.uint64) for _ in range(2))
+        rows = [[0] * (len(b) + 1)]
+        for w in a:
+            rows.append([0])
+            for j, v in enumerate(b):
+                rows[-1].append(rows[-2][j] + 1 if v == w else max(rows[-2][j + 1], rows[-1][j]))
+        got = passages.subsequence_rows(a, b)
+        assert [[j - (row & ((1 << j) - 1)).bit_count() for j in range(len(b) + 1)] for row in got] == rows[1:]
+        assert passages.common_words(a, b) == rows[-1][-1]
