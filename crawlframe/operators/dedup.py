@@ -151,6 +151,19 @@ def claim_winners(events: DataFrame, key: str, ts: str, event_id: str, ttl_secon
     return first.join(ttl_claims(events, key, ts, ttl_seconds).select(key, ts), [key, ts]).select(event_id)
 
 
+def pass_claims(events: DataFrame, key: str, ts: str, event_id: str, attempt: str, force: str, ttl_seconds: int = HOUR) -> DataFrame:
+    """Ids of the events that go on to be fetched: those that take their key's claim, retries and forced ones.
+
+    A retry (attempt above 1) neither asks for the claim that its first attempt holds nor changes it. A forced event passes and
+    releases the claim; at one instant it comes first. Null attempts are first ones, null flags are not forced.
+    """
+    forced = F.coalesce(F.col(force), F.lit(False))
+    again = ~forced & (F.coalesce(F.col(attempt), F.lit(1)) > 1)
+    claims = ttl_claims(events.where(~again), key, ts, ttl_seconds, force).where(~F.col("forced")).select(key, ts)
+    first = events.where(~forced & ~again).groupBy(key, ts).agg(F.min(event_id).alias(event_id))
+    return first.join(claims, [key, ts]).select(event_id).unionByName(events.where(forced | again).select(event_id))
+
+
 def claim_batch(events: DataFrame, held: DataFrame, key: str, ts: str, event_id: str, ttl_seconds: int = DAY,
                 force: str | None = None) -> DataFrame:
     """Claims of a micro-batch against the claims held so far (key, claimed_at; null if released).

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crawlframe.functions.html import page_links, visible_markup
 from crawlframe.functions.text import trace_context
-from crawlframe.operators import crawl, dedup, metrics, retry
+from crawlframe.operators import crawl, dedup, metrics, retry, traces
 from crawlframe.plans import bindings as B
 from crawlframe.plans import sql_text as S
 from crawlframe.plans.bindings import flat
@@ -111,10 +111,22 @@ def proxy_assignment(spark, d):
 
 def fetch_outcome(spark, d):
     """Every event as a fetch of the page numbered like its user; where there is none, the fetch fails."""
-    e = B.events(spark, d).withColumn("ref", F.concat_ws(":", F.col("user_id").cast("string"), F.col("k").cast("string")))
-    first = dedup.earliest(e, ["ref"], ["ts", "event_id"]).select("event_id", F.lit(False).alias("is_duplicate"))
+    return _fetch_outcome(spark, d, ["ref"], lambda log: dedup.claim_winners(log, "user_id", "ts", "event_id"))
+
+
+def fetch_outcome_attempts(spark, d):
+    """The same with signups as second attempts, which the ledger tells apart and no claim stops, and purchases as forced fetches."""
+    return _fetch_outcome(spark, d, ["ref", "attempt"], lambda log: dedup.pass_claims(log, "user_id", "ts", "event_id", "attempt", "force", dedup.DAY))
+
+
+def _fetch_outcome(spark, d, ledger_key, passing):
+    e = B.events(spark, d).withColumns({
+        "ref": F.concat_ws(":", F.col("user_id").cast("string"), F.col("k").cast("string")),
+        "attempt": F.when(F.col("event_type") == "signup", 2).otherwise(1), "force": F.col("event_type") == "purchase",
+    })
+    first = dedup.earliest(e, ledger_key, ["ts", "event_id"]).select("event_id", F.lit(False).alias("is_duplicate"))
     log = e.join(first, "event_id", "left").withColumn("is_duplicate", F.col("is_duplicate").isNull())
-    claims = dedup.claim_winners(log.filter(~F.col("is_duplicate")), "user_id", "ts", "event_id").withColumn("is_claimed", F.lit(False))
+    claims = passing(log.filter(~F.col("is_duplicate"))).withColumn("is_claimed", F.lit(False))
     log = log.join(claims, "event_id", "left").withColumn("is_claimed", F.col("is_claimed").isNull())
 
     pages = crawl.robots_filter(B.hashed_pages(spark, d, "job-1"), B.robots(spark, d), AGENT)
@@ -213,11 +225,34 @@ def trace_ids(spark, d):
     return e.select("event_id", ctx["trace"].alias("trace"), ctx["span"].alias("span"))
 
 
+def _hops(spark, d):
+    """The event log as the log of the stages: a user's events of five days are one trace; every tenth id is too short to be one."""
+    raw = F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), F.floor(F.dayofmonth("ts") / 5).cast("string")), 256)
+    known = F.concat(F.substring(raw, 1, 8), F.lit("-"), F.substring(raw, 9, 24))
+    e = B.events(spark, d)
+    stage = (
+        F.when(F.col("event_type") == "click", "cleaner").when(F.col("event_type") == "view", "parser")
+        .when(F.col("event_type") == "error", "retry").otherwise("crawler")
+    )
+    log = e.select("event_id", "ts", stage.alias("stage"), F.when(F.col("k") % 10 == 0, F.substring(raw, 1, 8)).otherwise(known).alias("id"))
+    log = log.withColumn("trace", trace_context(F.col("id"))["trace"])
+    return traces.trace_hops(log, "trace", "ts", "stage", "event_id", gap_seconds=86400)
+
+
+def trace_hops(spark, d):
+    return flat(_hops(spark, d).select("event_id", "trace", "stage", "hop", "from_stage", "latency_us", "is_gap", "is_backward"))
+
+
+def trace_timelines(spark, d):
+    out = traces.trace_timelines(_hops(spark, d), "trace", "ts", "stage")
+    return flat(out.withColumns({"missing": F.array_join("missing", ","), "first_at": F.col("first_at").cast("timestamp"), "last_at": F.col("last_at").cast("timestamp")}))
+
+
 QUERIES = {f.__name__: f for f in (
     request_validation, seed_frontier, incremental_frontier, first_links, frontier_bfs, frontier_corpus, robots_filter,
-    politeness_schedule, politeness_by_type, rate_limit_waits, proxy_assignment, fetch_outcome, retry_decision,
+    politeness_schedule, politeness_by_type, rate_limit_waits, proxy_assignment, fetch_outcome, fetch_outcome_attempts, retry_decision,
     failure_routing, retry_reemit, retry_outcomes, dlq_replay_cap, dlq_shape_route, dlq_outcomes, counter_by_label,
-    duration_buckets, rate_5m, p95_from_buckets, p95_exact, alert_intervals, alert_rules, trace_ids,
+    duration_buckets, rate_5m, p95_from_buckets, p95_exact, alert_intervals, alert_rules, trace_ids, trace_hops, trace_timelines,
 )}
 
 _FAIL = S.EVENTS + """,
@@ -268,12 +303,27 @@ def _quantile_sql() -> str:
       SELECT event_type, {S.stamp('window_end')} AS window_end, n AS observations, round((CASE {cases} ELSE 60.0 END)::DOUBLE, 6) AS p95 FROM hist"""
 
 
+_HOPS = S.EVENTS + """,
+tl AS (SELECT event_id, ts, sha256(user_id || '|' || day(ts) // 5) AS h,
+  CASE event_type WHEN 'click' THEN 'cleaner' WHEN 'view' THEN 'parser' WHEN 'error' THEN 'retry' ELSE 'crawler' END AS stage FROM ev WHERE k % 10 <> 0),
+th AS (SELECT event_id, substr(h, 1, 32) AS trace, ts, stage, list_position(['crawler', 'parser', 'cleaner'], stage) AS p, row_number() OVER w AS hop,
+  lag(stage) OVER w AS from_stage, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS latency_us FROM tl WINDOW w AS (PARTITION BY substr(h, 1, 32) ORDER BY ts, event_id)),
+hops AS (SELECT *, coalesce(latency_us > 86400000000, false) AS is_gap,
+  coalesce(p < list_position(['crawler', 'parser', 'cleaner'], from_stage), false) AS is_backward FROM th)"""
+
+
+def _outcome_sql(ledger_key: str, bypass: str, forced: str) -> str:
+    return _SQL_OUTCOME.format(ledger_key=ledger_key, bypass=bypass, forced=forced)
+
+
 _SQL_OUTCOME = f"""WITH RECURSIVE {_ROBOTS}, {S.EVENTS},
-      ke AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY ts, event_id) > 1 AS dup FROM ev),
-      nd AS (SELECT user_id, ts, min(event_id) AS id FROM ke WHERE NOT dup GROUP BY 1, 2),
-      c AS (SELECT user_id, min(ts) AS ts FROM nd GROUP BY 1 UNION ALL
-        SELECT e.user_id, min(e.ts) FROM c JOIN nd e ON e.user_id = c.user_id AND e.ts >= c.ts + INTERVAL 24 HOUR GROUP BY e.user_id, c.ts),
-      won AS (SELECT nd.id FROM nd JOIN c ON c.user_id = nd.user_id AND c.ts = nd.ts),
+""".replace("{", "{{").replace("}", "}}") + """
+      ke AS (SELECT *, row_number() OVER (PARTITION BY {ledger_key} ORDER BY ts, event_id) > 1 AS dup FROM ev),
+      sg AS (SELECT *, {bypass} AS bypass, count(*) FILTER ({forced}) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM ke WHERE NOT dup),
+      nd AS (SELECT user_id, s, ts, min(event_id) AS id FROM sg WHERE NOT bypass GROUP BY 1, 2, 3),
+      c AS (SELECT user_id, s, min(ts) AS ts FROM nd GROUP BY 1, 2 UNION ALL
+        SELECT e.user_id, e.s, min(e.ts) FROM c JOIN nd e ON e.user_id = c.user_id AND e.s = c.s AND e.ts >= c.ts + INTERVAL 24 HOUR GROUP BY e.user_id, e.s, c.ts),
+      won AS (SELECT nd.id FROM nd JOIN c ON c.user_id = nd.user_id AND c.s = nd.s AND c.ts = nd.ts UNION ALL SELECT event_id FROM sg WHERE bypass),
       lg AS (SELECT ke.*, won.id IS NULL AS claimed, coalesce(allowed, true) AS allowed, nu, cpages.page_id,
         CASE WHEN nu IS NULL THEN 404 WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 404 ELSE 200 END AS http
         FROM ke LEFT JOIN cpages ON cpages.page_id = ke.user_id LEFT JOIN verdict ON verdict.page_id = cpages.page_id LEFT JOIN won ON won.id = event_id),
@@ -305,7 +355,8 @@ ORACLE = {
     "rate_limit_waits": _POLITE.format(key="user_id", g="36000000000::BIGINT", b=2) + " SELECT user_id, count(*) AS waits FROM w WHERE wait > 10000 GROUP BY 1",
     "proxy_assignment": """SELECT event_id, ['http://a.proxy:1', 'http://b.proxy:2', 'http://c.proxy:3'][(coalesce(sum(CASE WHEN event_type = 'error' THEN 2 ELSE 1 END)
       OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3)::INT + 1] AS proxy FROM events""",
-    "fetch_outcome": _SQL_OUTCOME,
+    "fetch_outcome": _outcome_sql("user_id, k", "false", "false"),
+    "fetch_outcome_attempts": _outcome_sql("user_id, k, event_type = 'signup'", "event_type IN ('signup', 'purchase')", "event_type = 'purchase'"),
     "retry_decision": f"""WITH {_FAIL} SELECT event_id, attempt::BIGINT AS attempt, attempt < 5 AS should_retry, CASE WHEN attempt < 5 THEN pow(2.0::DOUBLE, attempt - 1) ELSE 0.0::DOUBLE END AS delay_seconds,
       CASE WHEN attempt >= 5 THEN 'max attempts reached: ' || error ELSE error END AS reason FROM fl""",
     "failure_routing": f"WITH {_FAIL} SELECT event_id, stage, CASE WHEN attempt < 5 THEN 'url.failed' ELSE 'dlq' END AS topic FROM fl",
@@ -333,4 +384,9 @@ ORACLE = {
       p AS (SELECT *, substr(rpad(replace(id, '-', ''), 32, '0'), 1, 32) AS pad FROM t),
       v AS (SELECT *, length(id) >= 16 AND regexp_matches(pad, '^[0-9a-fA-F]{{32}}$') AS ok FROM p)
       SELECT event_id, CASE WHEN ok THEN pad END AS trace, CASE WHEN ok THEN right(pad, 16) END AS span FROM v""",
+    "trace_hops": f"WITH {_HOPS} SELECT event_id, trace, stage, hop, from_stage, latency_us, is_gap, is_backward FROM hops",
+    "trace_timelines": f"""WITH {_HOPS} SELECT trace, count(*) AS hops, {S.stamp('min(ts)')} AS first_at, {S.stamp('max(ts)')} AS last_at, epoch_us(max(ts)) - epoch_us(min(ts)) AS duration_us,
+      max(latency_us) AS longest_us, count(*) FILTER (is_gap) AS gaps, count(*) FILTER (is_backward) AS backward,
+      concat_ws(',', CASE WHEN NOT bool_or(stage = 'crawler') THEN 'crawler' END, CASE WHEN NOT bool_or(stage = 'parser') THEN 'parser' END,
+        CASE WHEN NOT bool_or(stage = 'cleaner') THEN 'cleaner' END) AS missing FROM hops GROUP BY trace""",
 }
