@@ -68,9 +68,8 @@ def collect_stream(stream: DataFrame, folder: str, mode: str = "append") -> Batc
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, max_files: int = 16) -> DataFrame:
-    """A Parquet table as a stream, with the schema of the table."""
-    schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", max_files).parquet(folder)
-    )
+    """A Parquet table, one file or a folder of files, as a stream, with the schema of the table."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a pattern, because the source takes a plain path for a folder
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{path[:-1]}[{path[-1]}]")
