@@ -92,7 +92,8 @@ def upsert_pages(spark, d):
         F.sha2("url", 256).alias("url_id"), "title", "description", "language", "text_snippet", "page_id",
         F.lit("2024-02-01 00:00:00").cast("timestamp").alias("created_at"),
     )
-    old = delta.filter(F.col("language").isin("en", "fr", "de")).select(
+    # the older table has one row a URL, as the merge leaves it
+    old = dedup.earliest(delta.filter(F.col("language").isin("en", "fr", "de")).select("url_id", "language", "page_id"), ["url_id"], ["page_id"]).select(
         "url_id", F.lit("old").alias("title"), F.lit("old").alias("description"), "language",
         F.lit(None).cast("string").alias("text_snippet"), F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
     )
