@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+ADAPTIVE = "spark.sql.adaptive.enabled"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,14 +46,26 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
                   mode: str = "append") -> None:
     """Process everything the source holds now, batch by batch, then stop.
 
-    Batches without data are off: state on processing time would ask for one after another.
+    Batches without data are off: state on processing time would ask for one after another. A stream plans without adaptive
+    execution; what ``each`` does to a batch is batch work and has it as the session does, so that few rows take few tasks.
     """
     spark = stream.sparkSession
     before = spark.conf.get(NO_DATA, "true")
+    adaptive = spark.conf.get(ADAPTIVE, "true")
+
+    def treat(batch: DataFrame, batch_id: int) -> None:
+        conf = batch.sparkSession.conf
+        planned = conf.get(ADAPTIVE, "true")
+        conf.set(ADAPTIVE, adaptive)
+        try:
+            each(batch, batch_id)
+        finally:
+            conf.set(ADAPTIVE, planned)
+
     spark.conf.set(NO_DATA, "false")
     try:
         query = (
-            stream.writeStream.foreachBatch(each).outputMode(mode)
+            stream.writeStream.foreachBatch(treat).outputMode(mode)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
         query.awaitTermination()

@@ -64,12 +64,13 @@ class Work:
         return f"{self.folder}/topics/{name}"
 
     def publish(self, records: DataFrame, topic: str, stage: str, batch_id: int) -> None:
-        records.write.mode("overwrite").parquet(f"{self.topic(topic)}/{stage}-{batch_id}")
+        """Records of a batch for another stage; in files of a fair size, because that stage's batches are bounded in files."""
+        records.hint("rebalance").write.mode("overwrite").parquet(f"{self.topic(topic)}/{stage}-{batch_id}")
 
     def report(self, changes: DataFrame, stage: str, batch_id: int) -> None:
         """Status changes of a batch, for the status stage."""
         rows = changes.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TRANSITIONS.fields])
-        rows.write.mode("overwrite").parquet(f"{self.folder}/status/{stage}-{batch_id}")
+        rows.hint("rebalance").write.mode("overwrite").parquet(f"{self.folder}/status/{stage}-{batch_id}")
 
     def _stream(self, schema: T.StructType, path: str, max_files: int) -> DataFrame:
         return (self.spark.readStream.schema(schema).option("recursiveFileLookup", "true")
