@@ -408,3 +408,27 @@ def test_long_common_subsequences():
         got = passages.subsequence_rows(a, b)
         assert [[j - (row & ((1 << j) - 1)).bit_count() for j in range(len(b) + 1)] for row in got] == rows[1:]
         assert passages.common_words(a, b) == rows[-1][-1]
+
+
+def test_edited_passages_of_later_holders(spark):
+    """Edited passages whose seeds all lie in still earlier documents, in pieces; without them the pair would be found."""
+    rows = []
+    for g in range(20):
+        p, at = prose(70_000 + g, 80), 10 * g
+        parts = [p[i:i + 24] for i in range(0, 80, 16)] + [p, edited(p, 0.1, g)]
+        rows += [(at + i, " ".join([*prose(80_000 + at + i, 40), *x, *prose(90_000 + at + i, 40)])) for i, x in enumerate(parts)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    last = {r["doc_id"] // 10 for r in found if r["doc_id"] % 10 == 6 and r["source_id"] == r["doc_id"] - 1 and r["n_same"] >= 60}
+    assert len(last) >= 18
+
+
+def test_edited_passages_around_a_stock_line(spark):
+    """The only seeds are those of a line that many earlier documents hold; every fifth word behind it is another one."""
+    line, rest = prose(61, 30), prose(62, 40)
+    rows = [(i, " ".join([*prose(100_000 + i, 30), *line, *prose(110_000 + i, 40)])) for i in range(100)]
+    for i in (200, 201):
+        other = [f"y{i}-{j}" if j % 5 == 4 and i == 201 else w for j, w in enumerate(rest)]
+        rows.append((i, " ".join([*prose(100_000 + i, 30), *line, *other, *prose(110_000 + i, 40)])))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in found} == {(201, 200)}
+    assert found[0]["n_same"] >= 55
