@@ -272,3 +272,18 @@ def test_metrics(spark):
     assert metrics.exact_quantile(values, "v", ["l"], 0.95).first()["quantile"] == 95.0
     hist = {r["le"]: r["events"] for r in metrics.histogram(values, "v", ["l"], metrics.CRAWL_BUCKETS).collect()}
     assert (hist["0.1"], hist["5.0"], hist["60.0"], hist["+Inf"]) == (1, 6, 61, 101)
+
+
+def test_similarity_in_tasks_counts_without_a_join(spark):
+    """Small query sides are counted where the documents are: equal to the join, and no pair of trigrams becomes a row."""
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, None), (3, ""), (4, "Quick-quick THE"), (5, "Ünïcode brown"), (None, "fox")], "d long, t string")
+    asked = spark.createDataFrame([("a", "quick fox"), ("b", "brown"), ("c", None), ("e", "zzz")], "q string, u string")
+    for threshold in (0.0, 0.1, 0.5):
+        new = search.similarity_join(docs, "d", "t", asked, "q", "u", threshold)
+        old = search.similarity_join(docs, "d", "t", asked, "q", "u", threshold, max_rows=0)
+        assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect())) and new.columns == old.columns
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Generate" not in plan
+    twice = docs.unionByName(docs.where("d = 1"))
+    new, old = (search.similarity_join(twice, "d", "t", asked, "q", "u", **x) for x in ({}, {"max_rows": 0}))
+    assert sorted(map(repr, new.collect())) == sorted(map(repr, old.collect()))
