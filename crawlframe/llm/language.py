@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crawlframe.llm.common import crc_mod, map_rows, table
+from crawlframe.llm.common import crc_mod, map_rows, small_batches, table
 
 #: Runs of letters (digits and the underscore end a word).
 WORD = re.compile(r"[^\W\d_]+")
@@ -140,6 +140,7 @@ def keep_known(df: DataFrame, model: LanguageModel, least: float, text: str = "t
     Null, empty and letterless texts go; an untrained model keeps nothing.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
+    small_batches(df.sparkSession)
 
     def work(batches):
         for batch in batches:

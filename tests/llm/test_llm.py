@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from crawlframe.llm import bpe, fingerprint, html_text, jaccard, language, mixing, passages, quality, urlfilter, vectors
+from crawlframe.llm import bpe, common, fingerprint, html_text, jaccard, language, mixing, passages, quality, urlfilter, vectors
 from crawlframe.llm.graph import components
 from crawlframe.llm.words import raw_words, shingles
 
@@ -432,3 +433,32 @@ def test_edited_passages_around_a_stock_line(spark):
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["source_id"]) for r in found} == {(201, 200)}
     assert found[0]["n_same"] >= 55
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    """A stored frame is read from its files; what was shuffled to write it goes at once. The user's setting stays."""
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, conf = files(), spark.conf.get(common.CLEANUP_CONF)
+    frame = spark.range(10_000).withColumn("k", F.col("id") % 1_000).groupBy("k").count()
+    kept = common.stored(frame, "counts")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.CLEANUP_CONF) == conf
+    assert kept.count() == 1_000 and frame.where("count = 10").count() == 1_000
+
+
+def test_workers_get_small_batches(spark):
+    """A batch of texts is held several times over, so a task never gets 10,000 rows at once."""
+    sizes = common.map_rows(spark.range(0, 10_000, 1, 1), lambda rows: {"n": [len(rows["id"])]}, "n long", 100_000).collect()
+    assert sum(r["n"] for r in sizes) == 10_000 and max(r["n"] for r in sizes) <= 2_000
+
+
+def test_pairs_with_texts(spark):
+    """The texts of a pair keep their sides, whichever is shorter."""
+    texts = spark.createDataFrame([(1, "x" * 9), (2, "y"), (3, "z" * 5)], "id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    got = {(r["a"], r["b"]): (r["ta"], r["tb"]) for r in passages.with_texts(pairs, texts).collect()}
+    assert got == {(1, 2): ("x" * 9, "y"), (1, 3): ("x" * 9, "z" * 5), (2, 3): ("y", "z" * 5)}
