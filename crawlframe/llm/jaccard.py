@@ -24,10 +24,10 @@ from crawlframe.llm.common import map_rows, stored, table
 from crawlframe.llm.graph import components
 from crawlframe.llm.words import MIX, grouped, scramble, shingles
 
-#: A shingle is frequent from this many occurrences in (hash-ordered) prefixes on, or from this share of all of them: the
-#: table of frequent shingles, which every task gets, so has at most 200,000 rows. Occurrences are counted in groups of
-#: 2,000 documents; those alone in their group are left out of the count (the order only decides the work, not the result).
-FREQUENT, SHARE = 32, 200_000
+#: A shingle is frequent from this many occurrences in (hash-ordered) prefixes on; if more than 400,000 are, from the least number
+#: that fewer reach, because every task gets their table (6.4 MB). Occurrences are counted in groups of 2,000 documents; those
+#: alone in their group are left out of the count (the order only decides the work, not the result).
+FREQUENT, MOST_FREQUENT = 32, 400_000
 #: Words of the smallest sketch, and of the largest form that travels with every signature into the blocks.
 SKETCH_WORDS, FOLDED_WORDS = 16, 64
 BLOCK = 400
@@ -128,6 +128,87 @@ def bloom(ids: DataFrame, key: str) -> np.ndarray:
     return out
 
 
+def most_frequent(often: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (``often``) and their ``count``, sorted by shingle: those of the largest counts, ``most`` at most."""
+    steps = often.groupBy("count").agg(F.count("*").alias("k")).select("count", F.sum("k").over(W.orderBy(F.desc("count"))).alias("k"))
+    least = steps.where(F.col("k") <= most).agg(F.min("count")).first()[0]
+    rows = often.where(F.col("count") >= F.lit(least)).toArrow()
+    tokens, counts = rows["often"].to_numpy().view(np.uint64), rows["count"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
+
+
+def forest(apart: np.ndarray, a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> list[int]:
+    """Of the pairs (a, b) of members of the components ca and cb the closest ones that hold all of them together."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = x = above.get(y, y)
+        return x
+
+    out = []
+    for i in np.lexsort((b, a, apart)).tolist():
+        x, y = top(int(ca[i])), top(int(cb[i]))
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def block_pairs(rows: DataFrame, sketches: DataFrame, key: str, percent: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (key, id, n, c) of equal key and different components c whose sketches leave room for a link; if
+    ``spanning``, of each block only so many that the same documents hang together."""
+    main = rows.groupBy(key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.mode("c", True).alias("main"))
+    main = main.where("lo < hi").drop("lo", "hi")
+    rest = rows.join(main, key)
+    other = rest.groupBy(key).agg(F.sum((F.col("c") != F.col("main")).cast("long")).alias("q"))
+    rest = rest.join(other, key).withColumns({
+        "nt": F.ceil(F.col("m") / BLOCK).cast("int"), "nq": F.ceil(F.col("q") / BLOCK).cast("int")})
+    piece = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    asks = rest.where("c <> main").select(key, "id", "n", "c", "main", F.lit(1).alias("ask"), piece("nq").alias("i"),
+                                          F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"))
+    told = rest.select(key, "id", "n", "c", "main", F.lit(0).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"),
+                       piece("nt").alias("j"))
+    met = asks.unionByName(told).join(sketches.select("id", F.coalesce("folded", "sketch").alias("sketch")), "id")
+
+    def compare(rows: dict):
+        ask = np.array(rows["ask"], bool)
+        ids, n, c = (np.array(rows[x], np.int64) for x in ("id", "n", "c"))
+        bits = [np.array(s, np.int64) for s in rows["sketch"]]
+        words = np.array([len(b) for b in bits])
+        levels = []
+        for size in sorted({SKETCH_WORDS, *words.tolist()}):  # of each size the rows that have it, folded to it
+            at = np.nonzero(words >= size)[0]
+            place = np.zeros(len(bits), np.int64)
+            place[at] = np.arange(len(at))
+            levels.append((size, place, np.array([folded(bits[x], size) for x in at.tolist()]).view(np.uint64)))
+        q, t = np.nonzero(ask)[0], np.nonzero(~ask)[0]
+        near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i in q.tolist():
+            ok = (c[t] != c[i]) & ((ids[t] > ids[i]) | (c[t] == rows["main"][0]))
+            ok &= (np.minimum(n[t], n[i]) * 100 >= np.maximum(n[t], n[i]) * percent)
+            j = t[ok]
+            apart = np.zeros(len(j), np.int64)
+            for size, place, m in levels:
+                if len(j) == 0 or words[i] < size:
+                    break
+                fit = words[j] >= size
+                apart[fit] = np.bitwise_count(m[place[j[fit]]] ^ m[place[i]]).sum(1, dtype=np.int64)
+                close = (100 + percent) * apart <= (100 - percent) * (n[j] + n[i])
+                j, apart = j[close], apart[close]
+            if len(j):
+                near.append((apart, np.full(len(j), i), j))
+        if not near:
+            return None
+        apart, i, j = (np.concatenate(x) for x in zip(*near, strict=True))
+        a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+        kept = forest(apart, a, b, c[i], c[j]) if spanning else slice(None)
+        return {"a": a[kept].tolist(), "b": b[kept].tolist()}
+
+    return grouped(met, [key, "i", "j"], compare, "a long, b long").distinct()
+
+
 def by_sketch(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sketches leave room for a link, with their sizes na and nb."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -191,12 +272,9 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     first = stored(map_rows(docs, read, schema), "shingle-sets")
     rep = first.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
     rep = stored(rep, "shingle-classes")
-    total = first.agg(F.sum(F.floor(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     often = first.where("often IS NOT NULL").select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy("e.often").agg(
-        F.sum("e.times").alias("count")).where(F.col("count") >= max(FREQUENT, -(-total // SHARE)))
-    table_ = sorted((r["often"] % (1 << 64), r["count"]) for r in often.collect())
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (np.array([t for t, _ in table_], np.uint64), np.array([c for _, c in table_], np.int64)))
+        F.sum("e.times").alias("count")).where(F.col("count") >= FREQUENT)
+    sent = docs.sparkSession.sparkContext.broadcast(most_frequent(stored(often, "frequent-shingles"), MOST_FREQUENT))
 
     def sign(rows: dict):
         out: dict[str, list] = {c: [] for c in ("id", "n", "rare", "sketch", "folded", "sigs")}
@@ -212,9 +290,13 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     signed = map_rows(docs.where("id IS NOT NULL"), sign, "id long, n long, rare int, sketch array<long>, folded array<long>, sigs array<long>")
     signed = stored(signed, "signatures")
     posting = signed.select("id", "n", "rare", F.explode("sigs").alias("sig"))
-    one = W.partitionBy("sig").orderBy("rare", "id", "n")  # a sorted stream; nothing of a group is gathered
-    shared = posting.withColumns({"p": F.lag("id").over(one), "q": F.lead("id").over(one)}).where("p <> id OR q <> id")
-    shared = stored(shared.drop("p", "q"), "shared-signatures").join(rep.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
+    # by size, a signature is cut where the next set is too large for the one before: no link crosses the cut
+    one = W.partitionBy("sig").orderBy("n", "id")
+    shared = posting.withColumns({"p": F.lag("n").over(one), "q": F.lead("n").over(one)}).withColumns({
+        "p": F.coalesce(F.col("p") * 100 >= F.col("n") * percent, F.lit(False)), "q": F.coalesce(F.col("n") * 100 >= F.col("q") * percent, F.lit(False))})
+    shared = shared.withColumn("run", F.sum((~F.col("p")).cast("long")).over(one.rowsBetween(W.unboundedPreceding, 0))).where("p OR q")
+    shared = shared.withColumn("sig", F.xxhash64("sig", "run"))
+    shared = stored(shared.drop("p", "q", "run"), "shared-signatures").join(rep.select(F.col("rep").alias("id")), "id", "left_semi").distinct()
     # of signatures with the same members one is enough
     members = shared.groupBy("sig").agg(
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
@@ -222,7 +304,7 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     members = members.groupBy("m", "x", "y").agg(F.min("sig").alias("sig"), F.min("hub").alias("hub"))
     shared = stored(shared.join(members.select("sig", "hub"), "sig").select("sig", "id", "n", "rare", "hub"), "signature-members")
     sketches = signed.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "sketch", "folded").dropDuplicates(["id"])
-    sketches = stored(sketches, "sketches")
+    sketches = stored(sketches.join(shared.select("id"), "id", "left_semi"), "sketches")
     left, edges = shared.drop("hub"), None
     for turn in range(STARS):  # each signature's members are held against one of them, then the rest against one of the rest
         hubs = left.groupBy("sig").agg(F.min(F.struct("rare", "id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1")
@@ -240,54 +322,19 @@ def near_documents(df: DataFrame, k: int = 5, percent: int = 80, text: str = "te
     # what the stars did not connect: members of different components that share a signature, in blocks
     member = shared.join(groups, F.col("id") == F.col("node"), "left").select(
         "sig", "id", "n", F.coalesce("component", "id").alias("c"), F.col("hub.id").alias("hub"))
-    member = stored(member.where("id <> hub"), "members")
-    main = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.mode("c", True).alias("main"))
-    main = main.where("lo < hi").drop("lo", "hi")
-    rest = member.join(main, "sig")
-    other = rest.groupBy("sig").agg(F.sum((F.col("c") != F.col("main")).cast("long")).alias("q"))
-    rest = rest.join(other, "sig").withColumns({
-        "nt": F.ceil(F.col("m") / BLOCK).cast("int"), "nq": F.ceil(F.col("q") / BLOCK).cast("int")})
-    piece = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    asks = rest.where("c <> main").select("sig", "id", "n", "c", "main", F.lit(1).alias("ask"), piece("nq").alias("i"),
-                                          F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"))
-    told = rest.select("sig", "id", "n", "c", "main", F.lit(0).alias("ask"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"),
-                       piece("nt").alias("j"))
-    met = asks.unionByName(told).join(sketches.select("id", F.coalesce("folded", "sketch").alias("sketch")), "id")
-
-    def compare(rows: dict):
-        ask = np.array(rows["ask"], bool)
-        ids, n, c = (np.array(rows[x], np.int64) for x in ("id", "n", "c"))
-        bits = [np.array(s, np.int64) for s in rows["sketch"]]
-        words = np.array([len(b) for b in bits])
-        levels = []
-        for size in sorted({SKETCH_WORDS, *words.tolist()}):  # of each size the rows that have it, folded to it
-            at = np.nonzero(words >= size)[0]
-            place = np.zeros(len(bits), np.int64)
-            place[at] = np.arange(len(at))
-            levels.append((size, place, np.array([folded(bits[x], size) for x in at.tolist()]).view(np.uint64)))
-        q, t = np.nonzero(ask)[0], np.nonzero(~ask)[0]
-        out: dict[str, list] = {"a": [], "b": [], "na": [], "nb": []}
-        for i in q.tolist():
-            ok = (c[t] != c[i]) & ((ids[t] > ids[i]) | (c[t] == rows["main"][0]))
-            ok &= (np.minimum(n[t], n[i]) * 100 >= np.maximum(n[t], n[i]) * percent)
-            j = t[ok]
-            for size, place, m in levels:
-                if len(j) == 0 or words[i] < size:
-                    break
-                fit = words[j] >= size
-                k = j[fit]
-                apart = np.bitwise_count(m[place[k]] ^ m[place[i]]).sum(1, dtype=np.int64)
-                fit[fit] = (100 + percent) * apart > (100 - percent) * (n[k] + n[i])
-                j = j[~fit]
-            if len(j):
-                first_ = ids[j] < ids[i]
-                for name, x, y in (("a", ids[j], ids[i]), ("b", ids[i], ids[j]), ("na", n[j], n[i]), ("nb", n[i], n[j])):
-                    out[name] += np.where(first_, x, y).tolist()
-        return out if out["a"] else None
-
-    more = grouped(met, ["sig", "i", "j"], compare, "a long, b long, na long, nb long").select("a", "b").distinct()
-    more = by_sketch(stored(more, "block-pairs"), sketches, percent)
-    more = stored(verified(more, docs, k, percent), "block-links")
+    member = stored(member.where("id <> hub").drop("hub"), "members")
+    tried = stored(block_pairs(member, sketches, "sig", percent, True), "block-pairs")
+    more = stored(verified(by_sketch(tried, sketches, percent), docs, k, percent), "block-links")
+    edges = edges.unionByName(more)
+    # where a pair that held documents together is no link, another one of theirs may be: all of them are compared, by document
+    failed = tried.join(more, ["a", "b"], "left_anti")
+    whole = components(edges.unionByName(tried)).withColumnRenamed("component", "around")
+    again = whole.join(failed.select(F.col("a").alias("node")), "node").select("around").distinct()
+    again = whole.join(again, "around").join(components(edges), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    again = again.select("around", F.col("node").alias("id"), "c").join(sketches.select("id", "n"), "id")
+    again = stored(again, "loose-members")
+    last = by_sketch(stored(block_pairs(again, sketches, "around", percent, False), "loose-pairs"), sketches, percent)
+    more = stored(verified(last.join(tried, ["a", "b"], "left_anti"), docs, k, percent), "loose-links")
     reps = components(edges.unionByName(more)).select(F.col("node").alias("rep"), "component")
     named = rep.join(reps, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     whole = first.select("id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")

@@ -462,3 +462,38 @@ def test_pairs_with_texts(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
     got = {(r["a"], r["b"]): (r["ta"], r["tb"]) for r in passages.with_texts(pairs, texts).collect()}
     assert got == {(1, 2): ("x" * 9, "y"), (1, 3): ("x" * 9, "z" * 5), (2, 3): ("y", "z" * 5)}
+
+
+def test_blocks_span_large_groups(spark):
+    """Of a group of near sets the blocks give a spanning forest, not the pairs: their number grows with the group, not its square."""
+    tokens = np.arange(1, 400, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bits = [int(x) for x in jaccard.sketch(np.sort(tokens))]
+    rows = spark.createDataFrame([(7, i, 399, i) for i in range(200)], "sig long, id long, n long, c long")
+    sketches = spark.createDataFrame([(i, bits, None) for i in range(200)], "id long, sketch array<long>, folded array<long>")
+    pairs = jaccard.block_pairs(rows, sketches, "sig", 90, True)
+    assert pairs.count() == 199 and components(pairs).where("component = 0").count() == 200
+    assert jaccard.block_pairs(rows, sketches, "sig", 90, False).count() == 199 * 100
+
+
+def test_near_documents_around_the_threshold(spark):
+    """Clusters whose pairs are partly links and partly just none: the spanning pairs alone do not decide."""
+    rng = random.Random(5)
+    rows = []
+    for cluster in range(6):
+        base = [f"c{cluster}w{i}" for i in range(120)]
+        for _ in range(25):
+            text = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 3)):
+                text[at] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((len(rows), " ".join(text)))
+    low = brute_components(rows, 3, 90)
+    got = jaccard.near_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == low and 6 < len(set(low.values())) < len(low)
+
+
+def test_table_of_frequent_shingles(spark):
+    often = spark.createDataFrame([(9, 50), (-1, 40), (3, 40), (4, 33)], "often long, count long")
+    tokens, counts = jaccard.most_frequent(often, 3)
+    assert tokens.tolist() == [3, 9, (1 << 64) - 1] and counts.tolist() == [40, 50, 40]
+    assert jaccard.most_frequent(often, 2)[0].tolist() == [9]
+    assert len(jaccard.most_frequent(often.where("count < 0"), 3)[0]) == 0
