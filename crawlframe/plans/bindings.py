@@ -5,6 +5,8 @@ Each binding reads whole tables; ``sql_text.py`` states the same tables for the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,18 @@ def canonical_html(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).join(small_or_shuffled(chosen), "page_id").select("page_id", "url", "normalized_url", "html")
 
 
+def html_on_demand(chosen: DataFrame, pages: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """From wanted URLs (``_url``) to normalized_url and html of their pages, by the ids in ``chosen`` (page_id, normalized_url).
+
+    Only ids meet the wanted URLs. ``pages`` is then scanned for those ids; unless they are very many, no HTML is shuffled.
+    """
+    def of(wanted: DataFrame) -> DataFrame:
+        ids = chosen.join(wanted, F.col("normalized_url") == F.col("_url"), "left_semi")
+        return pages.select("page_id", "html").join(small_or_shuffled(ids), "page_id").select("normalized_url", "html")
+
+    return of
+
+
 def hashed_pages(spark: SparkSession, d: str, job: str) -> DataFrame:
     """The same pages with storage_key, checksum and size_bytes."""
     chosen = canonical_pages(spark, d, F.sha2("html", 256).alias("checksum"), F.octet_length("html").alias("size_bytes"))

@@ -107,10 +107,19 @@ def stream_upsert_pages(spark, d):
         "url_id", "id", "title", "language", "text_snippet", F.size("extracted_links").alias("link_count"), F.size("metadata").alias("metadata"), "created_at"))
 
 
+def _kept(df, label):
+    """The frame, written once: every batch of a crawl reads it again."""
+    path = run_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _crawl(spark, d, seeds, jobs, corpus=None, **how):
     work = stages.Work(spark, run_folder(spark, "stages"))
     if corpus is None:
-        corpus = B.canonical_html(spark, d).select("normalized_url", "html", F.lit(200).alias("http_status"))
+        chosen = _kept(B.canonical_pages(spark, d).select("page_id", "normalized_url"), "canonical-pages")
+        html = B.html_on_demand(chosen, read_table(spark, d, "pages"))
+        corpus = lambda wanted: html(wanted).withColumn("http_status", F.lit(200))
     stages.seed(work, jobs, seeds.withColumn("timestamp", F.lit("2024-01-01").cast("timestamp")))
     stages.drain(work, corpus, **how)
     return work
@@ -153,8 +162,8 @@ def stream_job_status(spark, d):
     """Every site is a job that starts at its page of the smallest id, one level deep: counts kept by moves between states."""
     named = B.canonical_pages(spark, d).withColumn("job_id", domain_of(F.col("normalized_url")))
     first = dedup.earliest(named, ["job_id"], ["page_id"])
-    seeds = first.select("job_id", "url", "normalized_url", F.lit(1).alias("max_depth"), F.array("job_id").alias("allowed_domains"))
-    work = _crawl(spark, d, seeds, _jobs(seeds, 1), robots=B.robots(spark, d), agent=crawl_queries.AGENT, retries=False)
+    seeds = _kept(first.select("job_id", "url", "normalized_url", F.lit(1).alias("max_depth"), F.array("job_id").alias("allowed_domains")), "seeds")
+    work = _crawl(spark, d, seeds, _jobs(seeds, 1), robots=_kept(B.robots(spark, d), "robots"), agent=crawl_queries.AGENT, retries=False)
     counts = work.tables["job_counts"].read(spark).select("job_id", "parsed", "skipped", "failed", (F.col("queued") + F.col("claimed") + F.col("fetched")).alias("open"))
     jobs = work.tables["jobs"].read(spark).select(F.col("id").alias("job_id"), "status", "urls_queued")
     return flat(jobs.join(counts, "job_id", "left"))

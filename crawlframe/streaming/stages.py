@@ -161,8 +161,9 @@ def discovered(fetched: DataFrame) -> DataFrame:
         "replay": F.lit(0), "schema_version": F.lit(1)}).drop("_from")
 
 
-def crawl_stage(work: Work, corpus: DataFrame, robots: DataFrame | None = None, agent: str = "crawlframe", ttl_seconds: int = HOUR) -> int:
-    """Discovered URLs meet the corpus (normalized_url, html, http_status) in place of the network.
+def crawl_stage(work: Work, corpus: DataFrame | Callable[[DataFrame], DataFrame], robots: DataFrame | None = None, agent: str = "crawlframe", ttl_seconds: int = HOUR) -> int:
+    """Discovered URLs meet the corpus (normalized_url, html, http_status) in place of the network; it is a frame or a function that
+    gives the rows of the wanted URLs (``_url``).
 
     Claim, robots rules, status, comparison with the stored hash, in this order; what passes is stored and its links are sent
     to this stage's own topic. Retries and replays take no claim, forced events release it.
@@ -180,7 +181,8 @@ def crawl_stage(work: Work, corpus: DataFrame, robots: DataFrame | None = None,
         log = log.withColumn("allowed", F.lit(True)) if robots is None else robots_filter(log, robots, agent)
         # the few events of a batch are sent to the corpus, not the corpus to them
         wanted = small_or_shuffled(log.where("NOT is_claimed AND allowed").select(F.col("normalized_url").alias("_url")).distinct())
-        pages = corpus.join(wanted, F.col("normalized_url") == F.col("_url"), "left_semi").select("normalized_url", "html", "http_status")
+        found = corpus(wanted) if callable(corpus) else corpus.join(wanted, F.col("normalized_url") == F.col("_url"), "left_semi")
+        pages = found.select("normalized_url", "html", "http_status")
         stored = urls.known(log).select("normalized_url", F.col("content_hash").alias("stored_hash"))
         met = log.join(pages, "normalized_url", "left").join(stored, "normalized_url", "left")
         met = artifacts(met, F.col("job_id")).withColumn("stored_hash", F.coalesce("stored_hash", F.lit("")))
@@ -298,7 +300,7 @@ def status_stage(work: Work) -> int:
     return taken
 
 
-def drain(work: Work, corpus: DataFrame, robots: DataFrame | None = None, agent: str = "crawlframe", retries: bool = True,
+def drain(work: Work, corpus: DataFrame | Callable[[DataFrame], DataFrame], robots: DataFrame | None = None, agent: str = "crawlframe", retries: bool = True,
           ttl_seconds: int = HOUR) -> None:
     """Run the stages until none has anything left; every round of the crawl stage reaches one link further."""
     while True:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlframe.operators import crawl, dedup, merge, retry
+from crawlframe.plans import bindings as B
 from crawlframe.schemas import CRAWL_JOBS
 from crawlframe.session import run_folder
 from crawlframe.sources import snapshots
@@ -216,3 +217,15 @@ def test_ledger_keeps_what_passed_over_batches_and_repeats(spark, tmp_path):
     assert got(log.first_time(batch(*second), key, ["n"], 2)) == []
     assert got(log.first_time(batch(), key, ["n"], 3)) == []
     assert got(log.first_time(batch(("d", 1, 0, 1)), key, ["n"], 4)) == [("d", 1, 0, 1)]
+
+
+def test_a_crawl_reads_only_wanted_pages(spark):
+    """The HTML of the corpus is not shuffled to find the pages of a batch: only ids meet the wanted URLs."""
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(100)], "page_id long, html string")
+    chosen = spark.createDataFrame([(i, f"http://a/{i}") for i in range(0, 100, 2)], "page_id long, normalized_url string")
+    wanted = spark.createDataFrame([("http://a/4",), ("http://a/5",), ("http://a/98",)], "_url string")
+    found = B.html_on_demand(chosen, pages)(wanted)
+    assert {tuple(r) for r in found.collect()} == {("http://a/4", "<p>4</p>"), ("http://a/98", "<p>98</p>")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "html" in line]
+    assert "BroadcastHashJoin [page_id" in plan
