@@ -450,6 +450,44 @@ def test_stored_leaves_no_shuffle_files(spark):
     assert kept.count() == 1_000 and frame.where("count = 10").count() == 1_000
 
 
+def left_behind(spark, work) -> set[str]:
+    """Labels of the tables below the checkpoint folder that ``work`` leaves."""
+    from crawlframe.session import checkpoint_dir
+    from crawlframe.sources.snapshots import folders
+
+    before = set(folders(spark, checkpoint_dir(spark)))
+    work()
+    return {x.rpartition("-")[0] for x in set(folders(spark, checkpoint_dir(spark))) - before if len(x.rpartition("-")[2]) == 32}
+
+
+def test_operators_remove_their_own_tables(spark, docs):
+    """What is left are the tables that the result is read from; the copies of texts, seeds and sets go as soon as nothing reads them."""
+    left = left_behind(spark, lambda: passages.repeated_passages(docs).collect())
+    assert left == {"equal-texts", "chained-passages", "later-passages", "run-passages"}
+    left = left_behind(spark, lambda: jaccard.near_documents(docs, 5, 80).collect())
+    assert left == {"shingle-sets", "shingle-classes", "star-links-0", "star-links-1", "block-links", "loose-links"}
+
+
+def test_only_held_seeds_are_dealt(spark):
+    """Seeds that one document alone holds are not shuffled to find out who holds them first."""
+    rows = [(i, [7, *range(1_000 * i, 1_000 * i + 500)], list(range(501))) for i in range(1, 21)]
+    seeds = spark.createDataFrame(rows, "id long, seeds array<long>, at array<int>")
+    got = passages.held_seeds(seeds, spark.createDataFrame([(7, 1)], "seed long, first long")).collect()
+    assert {(r["id"], r["at"]) for r in got if r["seed"] == 7} == {(i, 0) for i in range(1, 21)} and len(got) < 100
+
+
+def test_ends_that_cannot_go_on():
+    """The quick bound lets through whatever some first words of both would match in more than two of three."""
+    rng, refused = np.random.default_rng(8), 0
+    for _ in range(600):
+        x, y = (rng.integers(0, rng.integers(2, 40), rng.integers(0, 33)).astype(np.uint64) for _ in range(2))
+        best = max((3 * passages.common_words(x[:i], y[:j]) - 2 * max(i, j) for i in range(1, len(x) + 1) for j in range(1, len(y) + 1)), default=0)
+        may = passages.may_go_on(x, y)
+        assert may or best <= 0
+        refused += not may
+    assert refused > 100
+
+
 def test_workers_get_small_batches(spark):
     """A batch of texts is held several times over, so a task never gets 10,000 rows at once."""
     sizes = common.map_rows(spark.range(0, 10_000, 1, 1), lambda rows: {"n": [len(rows["id"])]}, "n long", 100_000).collect()
