@@ -17,6 +17,7 @@ from array import array
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,8 @@ class Codec:
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.suffix] for c in letters]
+        self.first = np.array(self.inner + self.last)  # of a byte inside a word and of the last one
+        self.ranks = np.array([self.rank.get(a << 32 | b, -1) for a in self.inner for b in self.first.tolist()], np.int32).reshape(256, 512)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACE))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -71,21 +74,24 @@ class Codec:
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Codes of distinct words, all merged together."""
-        sym, nxt, prv, start = [], [], [], []
-        for w in words:
-            at, n = len(sym), len(w)
-            start.append(at)
-            sym += [self.inner[c] for c in w[:-1]]
-            sym.append(self.last[w[-1]])
-            nxt += range(at + 1, at + n)
-            nxt.append(-1)
-            prv.append(-1)
-            prv += range(at, at + n - 1)
-        places: dict[int, list[int]] = {}
+        if not words:
+            return []
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = size.cumsum() - 1
+        letter = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        right = letter.copy()
+        right[ends] += 256
+        nxt, prv = np.arange(1, len(letter) + 1), np.arange(-1, len(letter) - 1)
+        nxt[ends] = -1
+        prv[ends - size + 1] = -1
+        ranks = self.ranks[letter[:-1], right[1:]]
+        ranks[ends[:-1]] = -1
+        at = np.argsort(ranks, kind="stable")
+        at = at[np.searchsorted(ranks[at], 0):]
+        active, cuts = np.unique(ranks[at], return_index=True)
+        places = dict(zip(active.tolist(), (x.tolist() for x in np.split(at, cuts[1:])), strict=False))
         get = self.rank.get
-        for i, j in enumerate(nxt):
-            if j >= 0 and (r := get(sym[i] << 32 | sym[j])) is not None:
-                places.setdefault(r, []).append(i)
+        sym, nxt, prv, start = self.first[right].tolist(), nxt.tolist(), prv.tolist(), (ends - size + 1).tolist()
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -144,7 +150,7 @@ class Codec:
         words.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
         gc.enable()
         for c, p in zip(fresh, parts, strict=True):
-            self.known[c] = b"".join([words[w] for w in p])
+            self.known[c] = words[p[0]] if len(p) == 1 else b"".join([words[w] for w in p])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""

@@ -357,6 +357,18 @@ def test_bpe_equals_the_library(spark, docs):
     assert len(rows) == len(odd_documents()) and all(r["n_tokens"] * 4 == len(r["ids"]) for r in rows)
 
 
+def test_first_pairs_of_many_words():
+    """The first pairs of all words come from one table; merged together, words get the codes that each gets by itself."""
+    import public_tokenizers
+
+    codec = bpe.Codec(bpe.load_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    right = [*codec.inner, *codec.last]
+    for a, b in [*np.random.default_rng(9).integers(0, (256, 512), (300, 2)).tolist(), [116, 104], [116, 256 + 104], [101, 256 + 114]]:
+        assert codec.ranks[a, b] == codec.rank.get(codec.inner[a] << 32 | right[b], -1)
+    words = [w.encode() for w in ("the", "a", "other", "mother", "bb", "é", "x" * 70, "12345", "unbelievable", "the")]
+    assert codec.merge([]) == [] and codec.merge(words) == [codec.merge([w])[0] for w in words]
+
+
 def test_empty_tables(spark, empty):
     content = __import__("public_tokenizers").path("word_bpe_49k.json")
     assert jaccard.near_documents(empty).count() == 0
