@@ -447,6 +447,52 @@ def test_edited_passages_around_a_stock_line(spark):
     assert found[0]["n_same"] >= 55
 
 
+def test_documents_around_a_short_stock_line_are_no_pairs(spark):
+    """A line of 17 words in many documents is no passage, whatever few words are the same further off: no texts travel for it."""
+    line, rest = prose(63, 17), prose(64, 50)
+    far = [" ".join(prose(65, 9)[i:i + 3]) for i in (0, 3, 6)]
+    rows = []
+    for i in range(100):
+        x, y = prose(120_000 + i, 60), prose(130_000 + i, 60)
+        rows.append((i, " ".join([*x[:24], far[0], *x[24:48], far[1], *x[48:], *line, *y[:40], *far, *y[40:]])))
+    for i in (200, 201):
+        other = [f"z{i}-{j}" if j % 5 == 4 and i == 201 else w for j, w in enumerate(rest)]
+        rows.append((i, " ".join([*prose(120_000 + i, 60), *line, *other, *prose(130_000 + i, 60)])))
+    docs = spark.createDataFrame(rows, "id long, text string")
+    lists = []
+    for i, t in rows:
+        seed, at = passages.minimizers(passages.word_hashes(t))
+        lists += [(i, s, p) for s, p in zip(seed.view(np.int64).tolist(), at.tolist(), strict=True)]
+    posts = spark.createDataFrame(lists, "id long, seed long, at int")
+    first = posts.groupBy("seed").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    own = posts.join(first, "seed").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("at", "seed", F.expr("first < id").alias("later")))).alias("s"))
+    found = spark.createDataFrame([], passages.PASSAGE)
+    got = [(r["a"], r["b"]) for r in passages.later_holders(docs, common.stored(own, "seed-lists"), found).collect()]
+    assert (200, 201) in got and len(got) < 1_000  # of 5,151 pairs that hold the line; seeds across its ends are in few documents
+
+
+def test_runs_of_one_passage():
+    """No stretch that an edited passage can have is refused: 40 of 50 words match, in as many runs as words may be lost and added."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(50, 60))
+        lost = set(rng.choice(n, n // 5, replace=False).tolist())
+        p, x, y = prose(int(rng.integers(1 << 30)), n), prose(int(rng.integers(1 << 30)), 70), prose(int(rng.integers(1 << 30)), 70)
+        more = set(rng.choice(n, (n - len(lost)) // 4 - 1, replace=False).tolist())
+        edited_p = [v for j, w in enumerate(p) for v in ([] if j in lost else [w]) + ([f"new{j}"] if j in more else [])]
+        at = int(rng.choice([j for j in range(n - 1) if not {j, j + 1} & lost]))
+        there = sum(j not in lost for j in range(at)) + sum(j in more for j in range(at))
+        near = [passages.around(passages.runs(passages.word_hashes(" ".join(t)), 2), i) for t, i in (
+            ([*x, *p, *x[::-1]], 70 + at), ([*y, *edited_p, *y[::-1]], 70 + there))]
+        rows, bits = passages.near_sets(near)
+        assert rows.shape == (2, 2 * passages.AROUND) and bits.shape == (2, passages.BITS // 64)
+        assert passages.in_one_passage(near[0], passages.AROUND, rows).all()
+    line, plain = prose(66, 17), [prose(67 + k, 60) for k in range(4)]
+    near = [passages.around(passages.runs(passages.word_hashes(" ".join([*plain[k], *line, *plain[k + 1]])), 2), 60) for k in (0, 2)]
+    assert passages.in_one_passage(near[0], 60, passages.near_sets(near)[0]).tolist() == [True, False]
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     """A stored frame is read from its files; what was shuffled to write it goes at once. The user's setting stays."""
     files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
