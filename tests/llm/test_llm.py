@@ -493,6 +493,20 @@ def test_runs_of_one_passage():
     assert passages.in_one_passage(near[0], 60, passages.near_sets(near)[0]).tolist() == [True, False]
 
 
+def test_pairs_in_rounds(spark, monkeypatch):
+    """Aligned in rounds, the pairs give the same passages; the table of their texts goes after the last."""
+    shared = prose(68, 70)
+    docs = spark.createDataFrame([(i, " ".join([*prose(140_000 + i, 40), *shared, *prose(150_000 + i, 20)])) for i in range(12)], "id long, text string")
+    pairs = spark.createDataFrame([(a, b) for b in range(12) for a in range(b)], "a long, b long")
+    whole = sorted(map(tuple, passages.passages_of(docs, pairs, "whole").collect()))
+    sizes, align = [], passages.with_texts
+    monkeypatch.setattr(passages, "ROUND", 20)
+    monkeypatch.setattr(passages, "with_texts", lambda pairs, texts: (sizes.append(pairs.count()), align(pairs, texts))[1])
+    got = passages.passages_of(docs, pairs, "rounds")
+    assert sorted(map(tuple, got.collect())) == whole and len(whole) == 66
+    assert len(sizes) == 4 and sum(sizes) == 66 and max(sizes) < 40
+
+
 def test_stored_leaves_no_shuffle_files(spark):
     """A stored frame is read from its files; what was shuffled to write it goes at once. The user's setting stays."""
     files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
